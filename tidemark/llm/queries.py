@@ -1,7 +1,12 @@
 """The ten operators as queries over whole tables, and the SQL that checks those SQL can express."""
 
+from . import exact_dedup
+from .exact_dedup import op5_exact_dedup
+from .language_id import op4_language_id
+from .mixing import op7_pivotal_mixing
 from .near_dedup import op2_minhash_near_dedup
+from .pieces import op1_sentencepiece
 
-QUERIES = {"op2_minhash_near_dedup": op2_minhash_near_dedup}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_minhash_near_dedup, op4_language_id, op5_exact_dedup, op7_pivotal_mixing)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE}
