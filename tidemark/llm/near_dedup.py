@@ -9,10 +9,13 @@ confirmed on the full sets.
 A pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^40 = 1.3e-7 and falls
 five standard deviations below the mean before the estimate drops it (``MOST_UNEQUAL``).
 
-Groups are never expanded into all pairs. Equal sets collapse to one representative. In each bucket the members of
-largest degree lead: every member of another component is compared with the leaders, confirmed links merge
-components, buckets whose members share one component are done, spent leaders leave, and the rest goes to
-the next round with more leaders. A bucket ends only when each pair in it is settled, so no link between components is lost.
+Groups are never expanded into all pairs. Equal sets collapse to one representative. First, families: components of
+the estimated links. In each bucket the members of largest degree lead; every member of another family is compared with
+the leaders, estimated links merge families, buckets whose members share one family are done, spent leaders leave,
+and the rest goes to the next round with more leaders, until each pair in a bucket either is in one family or was
+estimated apart. Then each family is settled exactly: up to ``BLOCK`` documents in one task, larger families
+by pairs of blocks of like size (sets whose sizes differ by a quarter cannot be linked), where the full intersections of all
+pairs are counted by products of incidence matrices and only a spanning forest of the confirmed links leaves the task.
 
 Nulls and edge cases: a null or wordless text has an empty set, n_shingles 0, and links with nothing. A null
 doc_id links with nothing and stays. Rows that repeat a doc_id are one document: they share a component.
@@ -25,16 +28,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, byte_slices, components, cut, mix, strings
+from .common import SPACED, Words, byte_slices, components, cut, mix, read_table, strings
 
 HASHES, BANDS, ROWS = 256, 40, 5
 #: Of 256 two-bit values, so many may differ: 38.4 are expected at similarity 0.8, standard deviation 5.7.
 MOST_UNEQUAL = 68
 #: Leaders of a bucket in its first, second, ... round; the last repeats, times eight each time.
 LEADERS = (1, 16, 256)
+#: Documents of a family, or of one side of a pair of blocks, that meet in one task; columns of its incidence matrix at a time.
+BLOCK, COLUMNS = 512, 4096
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _XOR = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
@@ -112,23 +117,64 @@ def _features(width: int):
     return run
 
 
-def _confirm(width: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = []
-            for c in (2, 3):
-                sides.append((x for _, _, data, offsets in byte_slices(strings(batch.column(c)), 1 << 19) for x in shingle_sets(data, offsets, width)))
-            keep = []
-            for x, y in zip(*sides, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the first one it is connected with by pairs of 100 * intersection >= percent * union."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), sizes)
+    shared = often[column] > 1
+    row, column = row[shared], (np.cumsum(often > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [c, c + COLUMNS]))
+        hits = np.zeros((n, COLUMNS), np.float32)
+        hits[row[part], column[part] - c] = 1
+        both += hits @ hits.T
+    both = both.astype(np.int64)
+    link = (both > 0) & (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both))
+    label = np.arange(n)
+    while True:
+        near = np.minimum(label, np.where(link, label[None, :], n).min(axis=1))
+        near = near[near]
+        if (near == label).all():
+            return label
+        label = near
+
+
+def _settle(width: int, percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        ids = table["id"].to_numpy()
+        sets = [x for _, _, data, offsets in byte_slices(strings(table["text"])) for x in shingle_sets(data, offsets, width)]
+        first = ids[linked(sets, percent)]
+        apart = first != ids
+        return pa.table({"a": np.minimum(first, ids)[apart], "b": np.maximum(first, ids)[apart]})
 
     return run
 
 
+def with_units(families: DataFrame) -> DataFrame:
+    """(id, units) of ``families(id, family, n)``: the tasks a document takes part in."""
+    of = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
+    rows = families.join(of, "family").withColumn("like", F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))).cast("int"))
+    blocks = rows.filter(F.col("members") > BLOCK).groupBy("family", "like").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = blocks.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("like", "blocks"))).alias("blocks"))
+    rows = rows.join(blocks, "family", "left")
+
+    def met(step: int):
+        other = F.coalesce(F.try_element_at("blocks", F.col("like") + step), F.lit(0))
+        name = lambda j: F.concat_ws(":", "family", F.least(F.col("like"), F.col("like") + step), *((F.least("own", j), F.greatest("own", j)) if step == 0 else ("own", j) if step > 0 else (j, "own")), F.lit(abs(step)))
+        return F.when(other > 0, F.transform(F.sequence(F.lit(0), F.greatest(other, F.lit(1)) - 1), name)).otherwise(F.array().cast("array<string>"))
+
+    own = F.pmod(F.xxhash64("id", F.lit(3)), F.try_element_at("blocks", F.col("like"))).cast("int")
+    rows = rows.withColumn("own", own)
+    many = F.concat(met(-1), met(0), met(1))
+    return rows.select("id", F.when(F.col("members") > BLOCK, many).otherwise(F.array(F.col("family").cast("string"))).alias("units"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept, links of its set's class (None of it sampled).
+    """One row per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept.
 
     Links join documents with 100 * intersection >= ``percent`` * union of their shingle sets; ``percent`` must be 80 or more for the recall above.
     """
@@ -149,44 +195,41 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     members = cut(every.drop("size").join(known, ["id", "f1"]).withColumn("comp", F.col("id")), "near-members")
 
     spark = docs.sparkSession
-    comps = tested = None
-    turn = 0
+    families, turn = None, 0
     while True:
         open_keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
         here = cut(members.join(open_keys, "key"), "near-open")
         if here.isEmpty():
             break
         lead = LEADERS[min(turn, len(LEADERS) - 1)] * 8 ** max(0, turn - len(LEADERS) + 1)
+        of_leader = [F.col(c).alias(f"l_{c}") for c in ("id", "f1", "n", "comp", *_SIG)]
         if lead == 1:
             order = F.struct("degree", (-F.col("id")).alias("i"), "f1")
-            leaders = here.groupBy("key").agg(F.max_by(F.struct(*[F.col(c).alias(f"l_{c}") for c in ("id", "f1", "n", "comp", *_SIG)]), order).alias("l")).select("key", "l.*")
+            leaders = here.groupBy("key").agg(F.max_by(F.struct(*of_leader), order).alias("l")).select("key", "l.*")
         else:
-            from pyspark.sql import Window
-
             ranked = here.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "id", "f1"))).filter(F.col("r") <= lead)
-            leaders = ranked.select("key", *[F.col(c).alias(f"l_{c}") for c in ("id", "f1", "n", "comp", *_SIG)])
+            leaders = ranked.select("key", *of_leader)
         leaders = cut(leaders, "near-leaders")
         unequal = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"l_s{i}")).bitwiseOR(F.col(f"s{i + 4}").bitwiseXOR(F.col(f"l_s{i + 4}")))) for i in range(4)), F.lit(0))
         near = (F.col("comp") != F.col("l_comp")) & (100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n")) & (unequal <= MOST_UNEQUAL)
         met = here.alias("m").join(leaders.alias("l"), (F.col("m.key") == F.col("l.key")) & near)
-        pairs = met.select(F.least("id", "l_id").alias("a"), F.greatest("id", "l_id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "near-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        texts = source.filter("doc_id is not null")
-        wanted = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        wanted = wanted.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-        links = cut(wanted.mapInArrow(_confirm(width, percent), "a long, b long").distinct(), "near-links")
-        if comps is None:
-            comps = components(links, "near")
-        elif not links.isEmpty():
-            comps = merged(comps, links)
+        pairs = cut(met.select(F.least("id", "l_id").alias("a"), F.greatest("id", "l_id").alias("b")).distinct(), "near-pairs")
+        if families is None:
+            families = components(pairs, "near")
+        elif not pairs.isEmpty():
+            families = merged(families, pairs)
         rest = here.join(leaders.select("key", F.col("l_id").alias("id"), F.col("l_f1").alias("f1")), ["key", "id", "f1"], "left_anti").drop("comp")
-        rest = rest.join(comps.select("id", F.col("component").alias("c")), "id", "left").withColumn("comp", F.coalesce("c", "id")).drop("c")
+        rest = rest.join(families.select("id", F.col("component").alias("c")), "id", "left").withColumn("comp", F.coalesce("c", "id")).drop("c")
         members = cut(rest.select(*members.columns), "near-members")
         turn += 1
 
+    comps = None
+    if families is not None:
+        sized = reps.select(F.col("doc_id").alias("id"), "n").distinct().join(families.withColumnRenamed("component", "family"), "id")
+        units = cut(with_units(sized), "near-units")
+        texts = source.filter("doc_id is not null").withColumnRenamed("doc_id", "id").join(units, "id")
+        texts = texts.select("id", "text", F.explode("units").alias("unit"))
+        comps = components(cut(texts.groupBy("unit").applyInArrow(_settle(width, percent), "a long, b long").distinct(), "near-links"), "near")
     if comps is None:
         comps = spark.createDataFrame([], "id long, component long")
     out = feats.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2", "n"], "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
@@ -206,6 +249,4 @@ def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import read_table
-
     return near_duplicates(read_table(spark, sf_dir, "documents"))
