@@ -1,11 +1,177 @@
-"""Every query of the engine by name, with its SQL where SQL can express it."""
+"""Every operator as a query over the test tables, with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Sequence
+from typing import Any
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..operators import KERNELS, POINTWISE, WINDOWS, Feature, apply, features
+from ..sources import series as src
+from .feature_engine import FeatureEngine
+from .oracles import PLACES, oracles
+from .oracles import rounded as rounded_sql
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+SOURCES = {
+    "bars": lambda spark, d: src.bars(src.table(spark, d, "events")),
+    "ticks": lambda spark, d: src.ticks(src.table(spark, d, "events")),
+    "pairs": lambda spark, d: src.pairs(src.table(spark, d, "orders")),
+    "vectors": lambda spark, d: src.vectors(src.table(spark, d, "events")),
+    "options": lambda spark, d: src.options(src.table(spark, d, "events")),
+}
+
+
+def rounded(value: Column, places: int = 6) -> Column:
+    """``places`` below a thousand, two fewer below ten million, else millions to three: the digits two engines' sums agree in."""
+    small, large = F.round(value, places), F.round(value, places - 2)
+    return F.when(F.abs(value) < 1e3, small).when(F.abs(value) < 1e7, large).otherwise(F.round(value / 1e6, 3)) + F.lit(0.0)
+
+
+def told(df: DataFrame, out: str = "value", places: int = 6) -> DataFrame:
+    """series, seq and the plain columns of ``out``: scalars as they are, a record's fields, a vector's elements as rows (bin, power)."""
+    kind = df.schema[out].dataType
+    at = [F.col("series"), F.col("seq").cast("long").alias("seq")]
+    plain = lambda c, t: rounded(c, places) if isinstance(t, T.DoubleType) else c
+    if isinstance(kind, T.StructType):
+        fields = {f.name: f.dataType for f in kind.fields}
+        if set(fields) == {"value", "velocity", "covariance"}:
+            v = F.col(out)
+            return df.select(*at, rounded(v["value"], places).alias("value"), rounded(v["velocity"], places).alias("velocity"), rounded(F.try_element_at(v["covariance"], F.lit(1)), places).alias("variance"))
+        vectors = [n for n, t in fields.items() if isinstance(t, T.ArrayType)]
+        main = next((n for n in ("power", "coefficients", "values") if n in vectors), None)
+        if main:
+            return df.filter(F.col(out).isNotNull()).select(*at, F.posexplode(F.col(out)[main]).alias("bin", "power")).select("series", "seq", F.col("bin").cast("long").alias("bin"), rounded(F.col("power"), places).alias("power"))
+        return df.select(*at, *[(F.transform(F.col(out)[n], lambda x: F.round(x, 6)) if n in vectors else plain(F.col(out)[n], t)).alias(n) for n, t in fields.items()])
+    if isinstance(kind, T.ArrayType):
+        return df.filter(F.col(out).isNotNull()).select(*at, F.posexplode(out).alias("bin", "power")).select("series", "seq", F.col("bin").cast("long").alias("bin"), (rounded(F.col("power"), places) if isinstance(kind.elementType, T.DoubleType) else F.col("power")).alias("power"))
+    return df.select(*at, plain(F.col(out), kind).alias(out))
+
+
+def one(source: str, operator: str, inputs: Sequence[str], params: dict[str, Any]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return told(features(SOURCES[source](spark, sf_dir), ["series"], ["seq"], [Feature(operator, inputs, "value", params)]), places=PLACES.get(snake(operator), 6))
+
+    return run
+
+
+def snake(name: str) -> str:
+    return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name.replace("VaR", "Var").replace("VIX", "Vix")).lower()
+
+
+HLC, OHLC = ["high", "low", "close"], ["open", "high", "low", "close"]
+#: Operator -> source, inputs and parameters of its query; the others read x of the ticks with the parameters in SHORT.
+GIVEN: dict[str, tuple[str, list[str], dict[str, Any]]] = {
+    **{n: ("bars", ["ret"], {"period": 20}) for n in ("RealizedVolatility", "RollingVolatility", "RollingReturns", "ValueAtRisk", "ConditionalValueAtRisk", "RachevRatio", "CornishFisherVaR", "GainLossRatio", "LoAutocorrelationSharpe")},
+    "SharpeRatio": ("bars", ["ret"], {"period": 20, "risk_free": 0.001}),
+    "SortinoRatio": ("bars", ["ret"], {"period": 20, "mar": 0.001}),
+    "OmegaRatio": ("bars", ["ret"], {"period": 20, "threshold": 0.01}),
+    "DeflatedSharpeRatio": ("bars", ["ret"], {"period": 20, "n_trials": 10}),
+    "VarianceSwap": ("bars", ["ret"], {"period": 20, "strike_variance": 0.04, "notional": 100.0}),
+    "Parkinson": ("bars", ["high", "low"], {"period": 20}),
+    "GarmanKlass": ("bars", OHLC, {"period": 20}),
+    "RogersSatchell": ("bars", OHLC, {"period": 20}),
+    "CorwinSchultz": ("bars", ["high", "low"], {}),
+    "AbdiRanaldo": ("bars", HLC, {"period": 20}),
+    "GlostenMilgrom": ("bars", ["close", "low", "high"], {}),
+    **{n: ("bars", ["ret"], {}) for n in ("FlemingOstdiekWhaleyVIX", "VandermeerVIX", "DemeterfiVarianceSwap", "EwmaVariance", "EwmaVolatility", "Garch", "PhaseLockedLoop", "AdaptiveNotchFilter")},
+    "ConditionalDrawdownAtRisk": ("bars", ["ret"], {"window": 60, "alpha": 0.9}),
+    **{n: ("pairs", ["asset", "market"], {"period": 20}) for n in ("RollingBeta", "TrackingError", "CaptureRatios", "ConditionalSharpe")},
+    "Capm": ("pairs", ["asset", "market", "rf"], {"period": 20}),
+    "JensenAlpha": ("pairs", ["asset", "market", "rf"], {"period": 20}),
+    "RollingBetaStability": ("pairs", ["asset", "market"], {"beta_window": 20, "stability_window": 20}),
+    "TreynorMazuy": ("pairs", ["asset", "market", "rf"], {}),
+    "FamaFrench3": ("pairs", ["asset", "market", "smb", "hml", "rf"], {}),
+    "Carhart4": ("pairs", ["asset", "market", "smb", "hml", "mom", "rf"], {}),
+    "FamaFrench5": ("pairs", ["asset", "market", "smb", "hml", "rmw", "cma", "rf"], {}),
+    "PortfolioReturns": ("vectors", ["returns", "weights"], {}),
+    "PortfolioDuration": ("vectors", ["returns", "weights"], {}),
+    "EwmaCovarianceMatrix": ("vectors", ["returns"], {"n_assets": 5}),
+    "ComponentMarginalVaR": ("vectors", ["returns", "weights"], {"n_assets": 5}),
+    "MaxDiversification": ("vectors", ["returns"], {"n_assets": 5}),
+    "ExponentiallyWeightedPortfolio": ("vectors", ["returns"], {"n_assets": 5}),
+    "FastICA": ("vectors", ["returns"], {"n_signals": 5, "n_components": 2, "window": 32}),
+    "PageHinkley": ("bars", ["ret"], {"threshold": 50.0}),
+    "ZeroCrossingRate": ("ticks", ["x"], {"threshold": 50.0}),
+    "LmsFilter": ("bars", ["ret"], {"order": 2, "mu": 1e-4}),
+    "RlsFilter": ("bars", ["ret"], {}),
+    "ParticleFilter": ("bars", ["ret"], {"measurement_noise": 1.0}),
+    "EnsembleKalman": ("bars", ["ret"], {"measurement_noise": 1.0}),
+    "Goertzel": ("ticks", ["x"], {"frequencies": [0.05, 0.1, 0.25], "block": 16}),
+    "ChirpZTransform": ("ticks", ["x"], {"window": 16, "update_every": 8, "n_points": 10}),
+    "Modwt": ("ticks", ["x"], {"window": 8, "levels": 2, "update_every": 8}),
+    "MultiresolutionAnalysis": ("ticks", ["x"], {"window": 8, "levels": 2, "update_every": 8}),
+    "ShortTimeFourierTransform": ("ticks", ["x"], {"window": 16, "hop": 8}),
+    "Periodogram": ("ticks", ["x"], {"window": 16, "update_every": 8}),
+    "MultitaperPsd": ("ticks", ["x"], {"window": 64}),
+    "bs_price": ("options", ["spot", "strike", "ttm", "rate", "sigma", "is_call"], {}),
+    "VixTermStructure": ("options", ["spot", "curve", "terms"], {}),
+    **{n: ("ticks", ["x"], {"window": 16, "update_every": 8}) for n in ("FftSpectralDensity", "WelchPsd", "BartlettMethod", "DaniellPeriodogram", "ParzenPeriodogram")},
+    **{n: ("ticks", ["x", "y"], {"window": 16, "update_every": 8}) for n in ("CrossSpectrum", "Coherence", "PartialCoherence")},
+    **{n: ("ticks", ["x", "y"], {}) for n in ("MultipleCoherence", "WaveletCorrelation", "WaveletCoherence", "CrossWaveletTransform", "WaveletPhaseSynchrony")},
+}
+
+
+def _implied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    priced = apply("bs_price", SOURCES["options"](spark, sf_dir), ["series"], ["seq"], ["spot", "strike", "ttm", "rate", "sigma", "is_call"], "price")
+    return told(apply("ImpliedVolatility", priced, ["series"], ["seq"], ["price", "spot", "strike", "ttm", "rate", "is_call"]))
+
+
+def _factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = SOURCES["pairs"](spark, sf_dir).withColumn("factors", F.array("market", "smb"))
+    return told(apply("MultiFactorModel", rows, ["series"], ["seq"], ["asset", "factors", "rf"], n_factors=2))
+
+
+def _parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = apply("EwmaCovarianceMatrix", SOURCES["vectors"](spark, sf_dir), ["series"], ["seq"], ["returns"], "c", n_assets=5)
+    return told(apply("risk_parity_weights", rows, ["series"], ["seq"], ["c"], n_assets=5))
+
+
+def _shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = apply("Periodogram", SOURCES["ticks"](spark, sf_dir), ["series"], ["seq"], ["x"], "p", window=64)
+    return told(apply("spectral_shape", rows.filter("p is not null"), ["series"], ["seq"], ["p"]))
+
+
+def _arrays(operator: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = SOURCES["vectors"](spark, sf_dir)
+        return told(features(rows, ["series"], ["seq"], [Feature(operator, ["returns"], "value", {"order": 2})]))
+
+    return run
+
+
+def _engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine = FeatureEngine(
+        ["vol", "garch", "realized", "sharpe", "omega", "kz", "wiener", "tk", "zc", "kalman", "lms"],
+        ["ewma_volatility", "garch", "realized_volatility", "sharpe", "gain_loss", "kz", "wiener", "teager_kaiser", "zero_crossing", "kalman", "lms"],
+        ["return"] * 5 + ["close"] * 3 + ["return", "close", "return"],
+        [None, None, 20, 20, 20, None, None, None, None, None, None],
+    )
+    rows = engine.apply(SOURCES["bars"](spark, sf_dir).drop("hour", "ret"), ["series"], ["seq"])
+    return rows.select("series", "seq", *[rounded(F.col(n)).alias(n) for n in engine.names])
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly volatility (of ranges and of closes) and value at risk of every event stream, from one window."""
+    wanted = [Feature("GarmanKlass", OHLC, "garman_klass", {"period": 20}), Feature("RollingVolatility", ["ret"], "volatility", {"period": 20}), Feature("ValueAtRisk", ["ret"], "value_at_risk", {"period": 20})]
+    rows = features(SOURCES["bars"](spark, sf_dir), ["series"], ["seq"], wanted)
+    return rows.select("series", "seq", *[rounded(F.col(f.out)).alias(f.out) for f in wanted])
+
+
+def queries() -> dict[str, Query]:
+    special = {"ImpliedVolatility": _implied, "MultiFactorModel": _factors, "risk_parity_weights": _parity, "spectral_shape": _shape, "levinson_durbin": _arrays("levinson_durbin"), "burg_ar": _arrays("burg_ar")}
+    found: dict[str, Query] = {"flagship": flagship, "feature_engine": _engine}
+    for name in [*WINDOWS, *KERNELS, *POINTWISE]:
+        found[snake(name)] = special[name] if name in special else one(*(lambda s, i, p, n=name: (s, n, i, p))(*GIVEN.get(name, ("ticks", ["x"], {}))))
+    return found
+
+
+def oracle_sql() -> dict[str, str]:
+    made = oracles()
+    base = made["garman_klass"]
+    made["flagship"] = base.replace("AS value FROM", "AS garman_klass, CASE WHEN seq >= 20 THEN " + rounded_sql("stddev_samp(ret) OVER w") + " END AS volatility, CASE WHEN seq >= 20 THEN " + rounded_sql("-quantile_cont(ret, 0.05) OVER w") + " END AS value_at_risk FROM")
+    return made
