@@ -78,7 +78,7 @@ def features(df: DataFrame, key: Sequence[str], order: Sequence[str], wanted: Se
     return run_kernels(out, list(key), list(order), jobs, check) if jobs else out
 
 
-def apply(operator: str, df: DataFrame, key: Sequence[str], order: Sequence[str], inputs: Sequence[str], out: str = "value", **params: Any) -> DataFrame:
+def apply(operator: str, df: DataFrame, key: Sequence[str], order: Sequence[str], inputs: Sequence[str], out: str = "value", /, **params: Any) -> DataFrame:
     """``df`` with one operator's column."""
     return features(df, key, order, [Feature(operator, inputs, out, params)])
 
