@@ -62,9 +62,12 @@ def as_record(value: Column | dict[str, Column]) -> Column:
     return F.struct(*[v.alias(k) for k, v in value.items()]) if isinstance(value, dict) else value
 
 
-def features(df: DataFrame, key: Sequence[str], order: Sequence[str], wanted: Sequence[Feature], check: bool = True) -> DataFrame:
-    """``df`` with a column for every feature. ``order`` must be total within a key, or results depend on how ties fall."""
-    frames, jobs = Frames(df, list(key), list(order)), []
+def features(df: DataFrame, key: Sequence[str], order: Sequence[str], wanted: Sequence[Feature], check: bool = True, number: str | None = None) -> DataFrame:
+    """``df`` with a column for every feature. ``order`` must be total within a key, or results depend on how ties fall.
+
+    ``number`` is for ``plans.pieces``: a column that numbers a series' rows where ``key`` cuts it into pieces.
+    """
+    frames, jobs = Frames(df, list(key), list(order), number=number), []
     for f in wanted:
         name = named(f.operator)
         if name in KERNELS:
@@ -75,7 +78,7 @@ def features(df: DataFrame, key: Sequence[str], order: Sequence[str], wanted: Se
         else:
             frames.df = frames.df.withColumn(f.out, as_record(POINTWISE[name](*[F.col(c) for c in f.inputs], **f.params)))
     out = frames.df.drop(*frames.staged)
-    return run_kernels(out, list(key), list(order), jobs, check) if jobs else out
+    return run_kernels(out, list(key), list(order), jobs, check, number) if jobs else out
 
 
 def apply(operator: str, df: DataFrame, key: Sequence[str], order: Sequence[str], inputs: Sequence[str], out: str = "value", /, **params: Any) -> DataFrame:

@@ -60,8 +60,8 @@ class Periodogram(Spectrum):
             raise ValueError("fs must be positive")
         self.fs, self.taper = fs, nx.taper(window_type, self.window)
 
-    def begin(self) -> dict:
-        return {"n": 0, "sum": 0.0}
+    def begin(self) -> dict | None:
+        return {"n": 0, "sum": 0.0} if self.running else None
 
     def density(self, x: np.ndarray) -> np.ndarray:
         raw = np.abs(np.fft.rfft(x * self.taper, axis=1)) ** 2

@@ -29,6 +29,8 @@ class Frames:
     key: Sequence[str]
     order: Sequence[str]
     staged: list[str] = field(default_factory=list)
+    #: A column that numbers the rows of a series from 1, where the partition is only a piece of one.
+    number: str | None = None
 
     @property
     def ordered(self):
@@ -50,7 +52,7 @@ class Frames:
 
     @property
     def seq(self) -> Column:
-        return F.row_number().over(self.ordered)
+        return F.col(self.number) if self.number else F.row_number().over(self.ordered)
 
     def from_tick(self, tick: int, value: Column) -> Column:
         """``value`` from tick ``tick`` on, null before."""
@@ -187,10 +189,11 @@ def advance(jobs: Sequence[Job], states: list, columns: dict[str, pa.Array], n:
     return out
 
 
-def run_kernels(df: DataFrame, key: Sequence[str], order: Sequence[str], jobs: Sequence[Job], check: bool = True) -> DataFrame:
+def run_kernels(df: DataFrame, key: Sequence[str], order: Sequence[str], jobs: Sequence[Job], check: bool = True, number: str | None = None) -> DataFrame:
     """``df`` and a column for every job; one exchange and one sort for all of them.
 
-    ``check`` fails the query on a NaN or infinite input. One series is one task, for its state passes from row to row.
+    ``check`` fails the query on a NaN or infinite input. One series is one task, for its state passes from row to row; ``number`` is
+    a column that numbers a series' rows where ``key`` cuts it into pieces (see ``pieces``).
     """
     clash = {j.out for j in jobs} & set(df.columns)
     if clash:
@@ -214,6 +217,9 @@ def run_kernels(df: DataFrame, key: Sequence[str], order: Sequence[str], jobs: S
                 own = tuple(batch.column(where[k])[a].as_py() for k in key)
                 if own != last:
                     states, last = [j.kernel.start() for j in jobs], own
+                    if number:
+                        for state in states:
+                            state["seen"] = batch.column(where[number])[a].as_py() - 1
                 columns = {c: batch.column(where[c]).slice(a, b - a) for j in jobs for c in j.inputs}
                 for p, x in zip(parts, advance(jobs, states, columns, b - a, check), strict=True):
                     p.append(x)
