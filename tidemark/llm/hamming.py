@@ -4,7 +4,8 @@ A vector's code is the sign of each dimension. Codes are cut into segments of ab
 (segment, value). A search starts at radius 0 in every segment and grows: at radius r the values at
 distance exactly r from the query's are probed, and candidates verified by full Hamming distance. If two codes are at most
 segments * (r + 1) - 1 apart, some segment differs in r bits at most, so once the kth verified distance is within
-that bound no other code can come before it, and the query is done.
+that bound no other code can come before it, and the query is done. Each pair of codes is met once, in the round of its
+nearest segment, and only if it can still enter the query's k best.
 
 Equal codes collapse before the search, with their k smallest ids, so a vector held by a third of all rows is one
 entry of the index; ties in distance go to the smaller id.
@@ -39,43 +40,52 @@ def top_k(rows: DataFrame, is_query: str, k: int = K) -> DataFrame:
     spark = rows.sparkSession
     ids, width = coded(rows)
     ids = cut(ids.distinct(), "hamming-codes")
-    nearest = Window.partitionBy("bits").orderBy("id")
-    few = ids.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= k)
-    codes = cut(few.groupBy("bits").agg(F.sort_array(F.collect_list("id")).alias("ids")), "hamming-distinct")
+    few = ids.withColumn("r", F.row_number().over(Window.partitionBy("bits").orderBy("id"))).filter(F.col("r") <= k)
+    codes = cut(few.groupBy("bits").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("code", F.col("ids")[0]), "hamming-distinct")
     n = codes.count()
     if not n or not width:
         return spark.createDataFrame([], "query_id long, rank int, neighbor_id long, distance int")
     each = max(4, min(MOST_BITS, n.bit_length() - 1))
-    starts = range(0, width, each)
-    value = lambda a: F.conv(F.substring("bits", a + 1, each), 2, 10).cast("int")
-    segments = F.array(*[F.struct(F.lit(s).alias("segment"), value(a).alias("value")) for s, a in enumerate(starts)])
-    index = cut(codes.select("bits", "ids", F.explode(segments).alias("s")).select("bits", "ids", "s.segment", "s.value"), "hamming-index")
-    todo = cut(ids.filter(is_query).select("bits").distinct().select(F.col("bits").alias("query"), F.explode(segments).alias("s")).select("query", "s.segment", "s.value"), "hamming-queries")
-    long_words = [(a, min(32, width - a)) for a in range(0, width, 32)]
-    apart = sum((F.bit_count(F.conv(F.substring("query", a + 1, w), 2, 10).cast("long").bitwiseXOR(F.conv(F.substring("bits", a + 1, w), 2, 10).cast("long"))) for a, w in long_words), F.lit(0))
+    m = len(range(0, width, each))
+    value = [F.conv(F.substring("bits", a + 1, each), 2, 10).cast("int").alias(f"s{i}") for i, a in enumerate(range(0, width, each))]
+    parts = [f"s{i}" for i in range(m)]
+    by_segment = F.explode(F.array(*[F.struct(F.lit(i).alias("segment"), F.col(p).alias("value")) for i, p in enumerate(parts)])).alias("at")
+    index = cut(codes.select("code", *value).select("code", *parts, by_segment).select("code", *parts, "at.segment", "at.value"), "hamming-index")
+    asked = ids.filter(is_query).select(F.col("id").alias("query_id"), "bits").join(codes.select("bits", "code"), "bits")
+    todo = asked.select(F.col("code").alias("query"), *value).distinct().withColumn("bound", F.lit(width))
+    todo = cut(todo.select("query", "bound", *[F.col(p).alias(f"q_{p}") for p in parts]), "hamming-queries")
+    apart = [F.bit_count(F.col(p).bitwiseXOR(F.col(f"q_{p}"))) for p in parts]
     best, done = None, []
     for radius in range(each + 1):
         masks = F.array(*[F.lit(sum(1 << b for b in c)) for c in combinations(range(each), radius)])
-        probes = todo.select("query", "segment", F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
-        found = probes.join(index, ["segment", "value"]).select("query", "bits", "ids").distinct()
-        found = found.select("query", apart.alias("distance"), F.explode("ids").alias("id"))
-        if best is not None:
-            found = found.unionByName(best).distinct()
-        order = Window.partitionBy("query").orderBy("distance", "id")
-        best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        best = cut(best, "hamming-best")
-        reach = len(starts) * (radius + 1) - 1
-        sure = best.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far")).filter((F.col("n") >= k) & (F.col("far") <= reach) if radius < each else F.lit(True)).select("query")
+        at = F.explode(F.array(*[F.struct(F.lit(i).alias("segment"), F.col(f"q_{p}").alias("value")) for i, p in enumerate(parts)])).alias("at")
+        probes = todo.select("*", at).select("*", F.explode(F.transform(masks, lambda x: F.col("at.value").bitwiseXOR(x))).alias("p_value")).withColumn("p_segment", F.col("at.segment")).drop("at")
+        # each pair is met once: in the round of its nearest segment, through the first such segment
+        first = F.lit(True)
+        for i, d in enumerate(apart):
+            first = first & (d >= F.when(F.col("segment") > i, radius + 1).otherwise(radius))
+        found = probes.hint("merge").join(index, (F.col("p_segment") == F.col("segment")) & (F.col("p_value") == F.col("value")) & first & (sum(apart[1:], apart[0]) <= F.col("bound")))
+        found = found.select("query", "code", sum(apart[1:], apart[0]).cast("int").alias("distance"))
+        found = found if best is None else found.unionByName(best)
+        order = Window.partitionBy("query").orderBy("distance", "code")
+        best = cut(found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank"), "hamming-best")
+        reach = m * (radius + 1) - 1
+        so_far = best.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
+        over = F.lit(True) if radius == each else (F.col("n") >= k) & (F.col("far") <= reach)
+        sure = so_far.filter(over).select("query")
         done.append(best.join(sure, "query", "left_semi"))
-        todo = cut(todo.join(sure, "query", "left_anti"), "hamming-queries")
-        best = best.join(sure, "query", "left_anti").drop("rank")
+        left = todo.join(so_far, "query", "left").filter(~F.coalesce(over, F.lit(False)))
+        todo = cut(left.withColumn("bound", F.when(F.col("n") >= k, F.col("far")).otherwise(F.lit(width))).select(*todo.columns), "hamming-queries")
+        best = best.join(sure, "query", "left_anti")
         if todo.isEmpty():
             break
     every = done[0]
     for more in done[1:]:
         every = every.unionByName(more)
-    asked = ids.filter(is_query).select(F.col("id").alias("query_id"), F.col("bits").alias("query"))
-    return asked.join(every, "query").select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("neighbor_id"), F.col("distance").cast("int").alias("distance"))
+    ranked = every.join(codes.select("code", "ids"), "code").select("query", "distance", F.explode("ids").alias("neighbor_id"))
+    nearest = Window.partitionBy("query").orderBy("distance", "neighbor_id")
+    ranked = ranked.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
+    return asked.join(ranked, asked["code"] == ranked["query"]).select("query_id", F.col("rank").cast("int").alias("rank"), "neighbor_id", "distance")
 
 
 def op9_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
