@@ -195,10 +195,18 @@ def fit(docs: DataFrame, usable: Column, path: str | None = None, per_language:
     """Learn from rows of ``docs(doc_id, text, lang)`` where ``usable``: ``per_language`` of each at most, to the driver."""
     path = path or vocabulary_path()
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", F.xxhash64("text"))
-    rows = rows.select("lang", "text", "doc_id").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language)
+    counts = rows.groupBy("lang").count().limit(513).collect()
+    if len(counts) > 512:
+        raise ValueError("lang has more than 512 values")
+    # those first by hash lie in a share of the hash's range: only about twice as many as wanted are ever ranked together
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, 2.0 * per_language / r["count"] + 100.0 / r["count"]))]) if counts else F.create_map(F.lit(""), F.lit(1.0))
+    drawn = F.xxhash64("doc_id", F.lit(5))
+    near = rows.filter(drawn.cast("double") / 2.0**64 + 0.5 <= F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(1.0)))
+    first = Window.partitionBy("lang").orderBy("drawn", "doc_id", "mark")
+    few = near.select("lang", "doc_id", drawn.alias("drawn"), F.xxhash64("text").alias("mark")).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_language)
+    few = few.select("lang", "doc_id", "mark").distinct().limit(512 * per_language)  # of bounded size, so it may be broadcast; texts stay where they are
     lat, counted = lattice(path), {}
-    for lang, text in rows.select("lang", "text").toLocalIterator():
+    for lang, text in rows.select("lang", "text", "doc_id", F.xxhash64("text").alias("mark")).join(F.broadcast(few), ["lang", "doc_id", "mark"]).select("lang", "text").toLocalIterator():
         own = counted.setdefault(lang, {})
         for w in text.encode().split():
             own[w] = own.get(w, 0) + 1
