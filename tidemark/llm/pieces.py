@@ -17,6 +17,7 @@ U+2581 in a text decodes to a space, as it does in the library. Units over ``CAC
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 from .common import byte_slices, read_table, strings
 
 MARK = "▁"
+LATIN = "[A-Za-z\u00c0-\u024f]"
 #: Bounds of what a Python worker remembers: characters in a unit, and units.
-CACHED, REMEMBERED = 48, 200_000
+CACHED, REMEMBERED = 48, 500_000
 
 
 class Codec:
@@ -57,9 +59,15 @@ class Codec:
         self.unigram = is_unigram(path) if unigram is None else unigram
         self.longest = max(map(len, self.ids), default=1)
         self.unknown = min(self.score.values(), default=0.0) - 10.0
-        #: A newline in no piece is a boundary of its own.
+        # no piece crosses from a space's run to what precedes it, from or to a newline that is in no piece,
+        # or from a Latin letter to a mark that follows none in any piece: units end there
         alone = "" if any("\n" in p for p in self.ids) else r"\n"
-        self.units = re.compile(f" *[^ {alone}]+| +" + (r"|\n" if alone else "")).findall
+        after = {b for p in self.ids for a, b in zip(p, p[1:], strict=False) if re.match(LATIN, a)}
+        marks = "".join(re.escape(c) for c in string.punctuation if c not in after)
+        ends = f"(?=[ {marks}{alone}]|\\Z)"
+        self.units = re.compile(f" *+{LATIN}++{ends}| *[^ {alone}]+| +" + (r"|\n" if alone else "")).findall
+        #: All ends of pieces: what is none of these ends no longer piece.
+        self.tails = {p[i:] for p in self.ids for i in range(len(p))}
         if any(" " in p.lstrip(" ") for p in self.ids):
             raise ValueError("a piece has the mark after other characters; units cannot be split at it")
         self.known: dict[str, tuple[int, ...]] = {}
@@ -80,42 +88,44 @@ class Codec:
         return parts
 
     def neighbours(self, left: str, right: str) -> bool:
-        key = (left, right)
-        if key not in self.pairs:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            self.pairs[key] = self.merged(left + right) == [left, right]
-        return self.pairs[key]
+        if len(self.pairs) > 1_000_000:
+            self.pairs.clear()
+        good = self.pairs[left, right] = self.merged(left + right) == [left, right]
+        return good
 
     def walk(self, units: list[str]) -> Iterator[tuple[str, list[str]]]:
         """Each of the sorted units with its pieces. ``last[d]`` is the last piece of the encoding of the first d characters."""
         last: list[str] = [""]
         best: list[float] = [0.0]
         before = ""
-        ids, score, longest, unigram, neighbours = self.ids, self.score, self.longest, self.unigram, self.neighbours
+        ids, score, tails, pairs = self.ids, self.score, self.tails, self.pairs
         for unit in units:
             d, stop = 0, min(len(before), len(unit))
             while d < stop and before[d] == unit[d]:
                 d += 1
             del last[d + 1 :], best[d + 1 :]
             for end in range(d + 1, len(unit) + 1):
-                chosen, top = "", 0.0
-                for start in range(max(0, end - longest), end):
-                    piece = unit[start:end]
-                    if piece not in ids:
-                        if start < end - 1:
-                            continue
-                        value = best[start] + self.unknown
-                    else:
-                        value = best[start] + score[piece]
-                    if unigram:
-                        if not chosen or value > top:
-                            chosen, top = piece, value
-                    elif not start or neighbours(last[start], piece):
-                        chosen = piece
+                starts, start = [], end - 1
+                while start >= 0 and (piece := unit[start:end]) in tails:
+                    if piece in ids:
+                        starts.append(start)
+                    start -= 1
+                if not starts or starts[0] != end - 1:
+                    starts.insert(0, end - 1)  # a character outside the vocabulary
+                if self.unigram:
+                    values = [best[i] + score.get(unit[i:end], self.unknown) for i in starts]
+                    top = max(values)
+                    best.append(top)
+                    last.append(unit[starts[values.index(top)] : end])
+                    continue
+                for i in reversed(starts):
+                    piece = unit[i:end]
+                    if not i:
                         break
-                last.append(chosen)
-                best.append(top)
+                    good = pairs.get((last[i], piece))
+                    if good if good is not None else self.neighbours(last[i], piece):
+                        break
+                last.append(piece)
             pieces, end = [], len(unit)
             while end:
                 pieces.append(last[end])
