@@ -46,7 +46,8 @@ def top_k(rows: DataFrame, is_query: str, k: int = K) -> DataFrame:
     if not n or not width:
         return spark.createDataFrame([], "query_id long, rank int, neighbor_id long, distance int")
     each = max(4, min(MOST_BITS, n.bit_length() - 1))
-    m = len(range(0, width, each))
+    m = -(-width // each)
+    each = -(-width // m)  # segments of one size: a short last one would be met by a large share of all codes
     value = [F.conv(F.substring("bits", a + 1, each), 2, 10).cast("int").alias(f"s{i}") for i, a in enumerate(range(0, width, each))]
     parts = [f"s{i}" for i in range(m)]
     by_segment = F.explode(F.array(*[F.struct(F.lit(i).alias("segment"), F.col(p).alias("value")) for i, p in enumerate(parts)])).alias("at")
