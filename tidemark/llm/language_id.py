@@ -218,7 +218,7 @@ def fit(docs: DataFrame, usable: Column, path: str | None = None, per_language:
 def score_texts(model: Model, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from, to, best language, score) over runs of the texts."""
     lat = lattice(model.path)
-    for i, j, data, offsets in byte_slices(texts):
+    for i, j, data, offsets in byte_slices(texts, 1 << 20):  # the lattices of a run's distinct words stay near 100 MB
         words = Words(data, offsets, SPACED, lower=False)
         _, where, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
         loglik = log_likelihoods(lat, model.prob, [_MARK + words.word(k) for k in where])
