@@ -251,3 +251,11 @@ def test_feature_engine(spark):
     flat_bars = spark.createDataFrame([("a", i, 100.0, 100.0, 100.0, 100.0, 1.0) for i in range(40)], bars.schema)
     got = FeatureEngine(["s"], ["sharpe"], ["return"], [20]).apply(flat_bars, KEY, ORDER).collect()
     assert all(r["s"] is None for r in got)
+
+
+def test_prices_of_zero_are_left_out(spark):
+    bars = {"o": [100.0, 0.0, 102.0], "h": [105.0, 0.0, 108.0], "l": [95.0, 0.0, 99.0], "c": [102.0, 0.0, 106.0]}
+    for operator in ("GarmanKlass", "RogersSatchell"):
+        got = run(spark, operator, bars, period=2)
+        assert got[1] is not None and got[2] is not None
+    assert run(spark, "CorwinSchultz", {"h": bars["h"], "l": bars["l"]})[1] is None

@@ -35,6 +35,11 @@ def _zero(value: Column) -> Column:
     return F.coalesce(value, F.lit(0.0))
 
 
+def _log(top: Column, bottom: Column) -> Column:
+    """Logarithm of a ratio of prices; null, and so left out of means, where a price is not positive."""
+    return F.ln(F.try_divide(top, bottom))
+
+
 def _over(top: Column, bottom: Column) -> Column:
     """top / bottom, null where bottom is not above TINY."""
     return F.when(bottom > TINY, top / bottom)
@@ -59,18 +64,18 @@ def RollingReturns(f: Frames, r: Column, period: int) -> Column:
 
 
 def Parkinson(f: Frames, high: Column, low: Column, period: int) -> Column:
-    span = F.ln(high / low)
+    span = _log(high, low)
     return f.from_tick(positive("period", period), F.sqrt(F.avg(span * span).over(f.rows(period)) / (4.0 * math.log(2.0))))
 
 
 def GarmanKlass(f: Frames, open: Column, high: Column, low: Column, close: Column, period: int) -> Column:
-    span, move = F.ln(high / low), F.ln(close / open)
+    span, move = _log(high, low), _log(close, open)
     each = 0.5 * span * span - (2.0 * math.log(2.0) - 1.0) * move * move
     return f.from_tick(positive("period", period), F.sqrt(F.greatest(F.avg(each).over(f.rows(period)), F.lit(0.0))))
 
 
 def RogersSatchell(f: Frames, open: Column, high: Column, low: Column, close: Column, period: int) -> Column:
-    each = F.ln(high / close) * F.ln(high / open) + F.ln(low / close) * F.ln(low / open)
+    each = _log(high, close) * _log(high, open) + _log(low, close) * _log(low, open)
     return f.from_tick(positive("period", period), F.sqrt(F.greatest(F.avg(each).over(f.rows(period)), F.lit(0.0))))
 
 
@@ -108,8 +113,8 @@ def DemeterfiVarianceSwap(f: Frames, r: Column, window: int = 22, period: float
 
 def CorwinSchultz(f: Frames, high: Column, low: Column) -> Column:
     last_high, last_low = F.lag(high).over(f.ordered), F.lag(low).over(f.ordered)
-    one, before = F.ln(high / low), F.ln(last_high / last_low)
-    two = F.ln(F.greatest(high, last_high) / F.least(low, last_low))
+    one, before = _log(high, low), _log(last_high, last_low)
+    two = _log(F.greatest(high, last_high), F.least(low, last_low))
     beta, gamma, k = one * one + before * before, two * two, 3.0 - 2.0 * math.sqrt(2.0)
     alpha = F.greatest((F.sqrt(2.0 * beta) - F.sqrt(beta)) / k - F.sqrt(gamma / k), F.lit(0.0))
     return f.from_tick(2, 2.0 * (F.exp(alpha) - 1.0) / (F.exp(alpha) + 1.0))
@@ -123,7 +128,7 @@ def AbdiRanaldo(f: Frames, high: Column, low: Column, close: Column, period: int
     bounce = f.hold(F.when(before.isNotNull(), F.greatest(move, zero) * F.greatest(-before, zero)))
     rows = f.rows(positive("period", period, 2))
     mean = F.avg(close).over(rows)
-    value = F.when(mean > 0, F.least(2.0 * F.sqrt(F.avg(bounce).over(rows)) / mean, F.avg((high - low) / close).over(rows)))
+    value = F.when(mean > 0, F.least(2.0 * F.sqrt(F.avg(bounce).over(rows)) / mean, F.avg(F.try_divide(high - low, close)).over(rows)))
     return f.from_tick(max(period, 3), value)
 
 

@@ -52,7 +52,7 @@ def pairs(orders: DataFrame) -> DataFrame:
     daily = orders.groupBy(F.col("o_orderpriority").alias("series"), F.col("o_orderdate").alias("day")).agg(F.avg("o_totalprice").alias("p"))
     market = orders.groupBy(F.col("o_orderdate").alias("day")).agg(F.avg("o_totalprice").alias("m"))
     w = Window.partitionBy("series").orderBy("day")
-    rows = daily.join(market, "day").withColumns({"asset": F.col("p") / F.lag("p").over(w) - 1.0, "market": F.col("m") / F.lag("m").over(w) - 1.0})
+    rows = daily.join(market, "day").withColumns({"asset": F.try_divide("p", F.lag("p").over(w)) - 1.0, "market": F.try_divide("m", F.lag("m").over(w)) - 1.0})
     rows = numbered(rows.filter("asset is not null"), ["day"])
     later = Window.partitionBy("series").orderBy("seq")
     lags = {n: F.coalesce(F.lag("market", k).over(later), F.lit(0.0)) for k, n in enumerate(("smb", "hml", "mom", "rmw", "cma"), 1)}
