@@ -40,6 +40,11 @@ def _log(top: Column, bottom: Column) -> Column:
     return F.ln(F.try_divide(top, bottom))
 
 
+def _not_below_zero(x: Column) -> Column:
+    """The larger of x and 0, null where x is: ``greatest`` would pass over a null."""
+    return F.when(x > 0, x).when(x <= 0, F.lit(0.0))
+
+
 def _over(top: Column, bottom: Column) -> Column:
     """top / bottom, null where bottom is not above TINY."""
     return F.when(bottom > TINY, top / bottom)
@@ -71,12 +76,12 @@ def Parkinson(f: Frames, high: Column, low: Column, period: int) -> Column:
 def GarmanKlass(f: Frames, open: Column, high: Column, low: Column, close: Column, period: int) -> Column:
     span, move = _log(high, low), _log(close, open)
     each = 0.5 * span * span - (2.0 * math.log(2.0) - 1.0) * move * move
-    return f.from_tick(positive("period", period), F.sqrt(F.greatest(F.avg(each).over(f.rows(period)), F.lit(0.0))))
+    return f.from_tick(positive("period", period), F.sqrt(_not_below_zero(F.avg(each).over(f.rows(period)))))
 
 
 def RogersSatchell(f: Frames, open: Column, high: Column, low: Column, close: Column, period: int) -> Column:
     each = _log(high, close) * _log(high, open) + _log(low, close) * _log(low, open)
-    return f.from_tick(positive("period", period), F.sqrt(F.greatest(F.avg(each).over(f.rows(period)), F.lit(0.0))))
+    return f.from_tick(positive("period", period), F.sqrt(_not_below_zero(F.avg(each).over(f.rows(period)))))
 
 
 def VarianceSwap(f: Frames, r: Column, period: int, strike_variance: float = 0.0, notional: float = 1.0) -> dict[str, Column]:
@@ -116,7 +121,7 @@ def CorwinSchultz(f: Frames, high: Column, low: Column) -> Column:
     one, before = _log(high, low), _log(last_high, last_low)
     two = _log(F.greatest(high, last_high), F.least(low, last_low))
     beta, gamma, k = one * one + before * before, two * two, 3.0 - 2.0 * math.sqrt(2.0)
-    alpha = F.greatest((F.sqrt(2.0 * beta) - F.sqrt(beta)) / k - F.sqrt(gamma / k), F.lit(0.0))
+    alpha = _not_below_zero((F.sqrt(2.0 * beta) - F.sqrt(beta)) / k - F.sqrt(gamma / k))
     return f.from_tick(2, 2.0 * (F.exp(alpha) - 1.0) / (F.exp(alpha) + 1.0))
 
 
