@@ -377,6 +377,14 @@ def test_fuzzy_lines(spark):
     assert line_dedup.fuzzy_lines(docs_of(spark, [])).count() == 0
 
 
+def test_similar_lines_without_spaces(spark):
+    rng = random.Random(4)
+    tokens = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (60, 60, 40, 30)]
+    rows = [(2 * i + k, t if k == 0 else "Q" + t[1:]) for i, t in enumerate(tokens) for k in (0, 1)]
+    got = {r.doc_id: r.first_doc for r in line_dedup.fuzzy_lines(docs_of(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 # ---------------------------------------------------------------- secrets
 
 
