@@ -385,6 +385,19 @@ def test_similar_lines_without_spaces(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def test_similar_lines_with_changed_numbers(spark):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for i in range(12):
+        body = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 11))) for _ in range(60))
+        pair = [f"{body[:240]} 2021-03-04 05:06:17", f"{body[:240]} 1987-12-26 18:49:53"] if i % 2 else [f"Ref {n} {body[:140]}" for n in ("1029384756", "5647382910")]
+        sets = [{t[j : j + 5] for j in range(len(t) - 4)} for t in pair]
+        assert 100 * len(sets[0] & sets[1]) >= 80 * len(sets[0] | sets[1])
+        rows += [(2 * i, pair[0]), (2 * i + 1, pair[1])]
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i}
+    assert {r.doc_id: r.first_doc for r in line_dedup.fuzzy_lines(docs_of(spark, rows)).collect()} == want
+
+
 # ---------------------------------------------------------------- secrets
 
 

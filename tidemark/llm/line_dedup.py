@@ -4,7 +4,7 @@ A line is a stretch of a text between newlines. Equal lines collapse first. A li
 shingles of ``EXACT`` characters, the same set that verifies. One permutation feeds all ``BINS`` minima: a shingle's hash picks its bin
 and competes there. Bands of two bins give bucket keys; a pair of similarity 0.8 misses all twelve bands with probability
 (1 - 0.8^2)^12 = 5e-6, in short lines with up to 2e-5 (simulated: 4 of 5 shingles shared 1.8e-5 of 4,000,000, 8 of 10 none of
-4,000,000). Candidates whose packed minima agree in too few bins are dropped, the others verified exactly: Jaccard similarity of at least
+4,000,000). Candidates whose packed minima agree in too few bins are dropped (``alike``: 7e-6 of pairs of similarity 0.8 at most), the others verified exactly: Jaccard similarity of at least
 ``LEAST_PERCENT`` of the full sets of both lines. Verified links run through distributed label propagation (union-find), and one line of each
 component stays: the first by (doc_id, line number).
 
@@ -30,9 +30,8 @@ from .common import cut as _cut
 
 cut = partial(_cut, codec="zstd", release=True)
 
-SHINGLE, EXACT, BINS, LEAST_PERCENT = 8, 5, 24, 80
+EXACT, BINS, LEAST_PERCENT = 5, 24, 80
 LEADERS = (1, 8, 64)
-_ANCHORED = rf"(?s)(?<![A-Za-z])(?=(.{{1,{SHINGLE}}}))"
 _EVERY = rf"(?s)(?=(.{{{EXACT}}}))"
 
 
@@ -81,35 +80,26 @@ _PACKED = [f"p{i}" for i in range(BINS // 8)]
 
 
 def alike() -> Column:
-    """Whether signatures p and l_p agree in nine of twenty filled bins, less one: seven in ten are expected at similarity 0.8, give or take 0.09."""
+    """Whether signatures p and l_p agree in nine of twenty filled bins, less one.
+
+    At similarity 0.8, 19 of 24 bins agree on average, with deviation 2; fewer than the ten asked for with probability 7e-6.
+    """
     union = sum((_filled(F.col(p).bitwiseOR(F.col(f"l_{p}"))) for p in _PACKED), F.lit(0))
     differ = sum((_filled(F.col(p).bitwiseXOR(F.col(f"l_{p}"))) for p in _PACKED), F.lit(0))
     return 20 * (union - differ) + 20 >= 9 * union
 
 
 def confirmed(a: Column, b: Column, percent: int) -> Column:
-    """Whether the full shingle sets of two lines are similar. Each set is made once; lines that share too few anchored shingles go first.
-
-    An edit costs a line about as many anchored shingles, relative to their number, as shingles of EXACT characters, half more at
-    most: at similarity 0.8 some seven in ten agree, and half of them less one is asked.
-    """
+    """Whether the full shingle sets of two lines are similar. Each set is made once."""
 
     def once(values: Column, then) -> Column:
         return F.transform(F.array(values), then)[0]
 
-    def rough(s: Column) -> Column:
-        both = F.size(F.array_intersect(s["x"], s["y"]))
-        return 15 * both + 10 >= 5 * (F.size(s["x"]) + F.size(s["y"]))
-
     def exact(s: Column) -> Column:
         sizes = F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("both"), (F.size(s["x"]) + F.size(s["y"])).alias("sum"))
         return once(sizes, lambda n: 100 * n["both"] >= percent * (n["sum"] - n["both"]))
 
-    def anchored(line: Column) -> Column:
-        return F.array_distinct(F.regexp_extract_all(line, F.lit(_ANCHORED), F.lit(1)))
-
-    near = once(F.struct(anchored(a).alias("x"), anchored(b).alias("y")), rough)
-    return F.when(near, once(F.struct(exact_set(a).alias("x"), exact_set(b).alias("y")), exact)).otherwise(F.lit(False))
+    return once(F.struct(exact_set(a).alias("x"), exact_set(b).alias("y")), exact)
 
 
 def similar_lines(lines: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
