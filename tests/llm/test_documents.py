@@ -330,6 +330,42 @@ def test_license_places(spark):
     assert "bsd" in got[6].labels and got[7].labels == "proprietary" and got[8].labels == "" and got[9].labels == "gpl-3"
 
 
+def test_whole_licenses_and_their_openings():
+    from tidemark.llm.common import ALNUM, Words
+
+    scanner = licenses.Scanner()
+
+    def labels(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return {x[3] for x in scanner.places(Words(data, np.array([0, len(data)]), ALNUM))}
+
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial
+portions of the Software. THE SOFTWARE IS PROVIDED “AS IS”, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+    assert labels(mit) == {"mit"} and labels(mit.replace("TORT", "FAULT")) == {"mit-partial"} and labels(mit[:300]) == {"mit-partial"}
+    opening = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    one = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    two = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    advert = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the Example Group."
+    three = "3. Neither the name of the Example Group nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    end = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY,
+OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY
+OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+    for label, clauses in (("bsd-2", [one, two]), ("bsd-3", [one, two, three]), ("bsd-4", [one, two, advert, three]), ("bsd-partial", [one, three]), ("bsd-partial", [])):
+        assert labels("\n".join([opening, *clauses, end])) == {label}
+    header = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} Public License as published by the Free Software Foundation, either version {1} of
+the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY
+or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} Public License for more details."""
+    for label, name, version in (("gpl-2", "General", "2"), ("gpl-3", "General", "3"), ("lgpl-2.1", "Lesser General", "2.1"), ("lgpl-3", "Lesser General", "3"), ("agpl-3", "Affero General", "3")):
+        assert labels(header.format(name, version)) == {label} and labels(header.format(name, version)[:260]) == {label + "-partial"}
+    for tag, want in (("BSD-3-Clause", {"bsd-3"}), ("LGPL-2.1-or-later", {"lgpl-2.1"}), ("MIT OR Apache-2.0", {"mit", "apache-2"}), ("AGPL-3.0-only", {"agpl-3"}), ("MPL-2.0", {"mpl-2"}), ("ISC", {"isc"})):
+        assert labels(f"// SPDX-License-Identifier: {tag}") == want
+
+
 def test_optional_and_free_regions():
     from tidemark.llm.common import ALNUM, Words
 
