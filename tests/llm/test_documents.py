@@ -181,6 +181,21 @@ def test_languages(spark):
     assert language_id.identify(docs.limit(0), model).count() == 0
 
 
+def test_long_words_are_learned_from():
+    word = language_id._MARK + "ab漢字かな𝄞x".encode() * 30
+    cuts = language_id.runs(word)
+    assert b"".join(cuts) == word and all(len(c) <= language_id.TOGETHER and c.decode() for c in cuts)
+    lat = language_id.lattice(language_id.vocabulary_path())
+    rng = random.Random(3)
+    text = {x: "".join(rng.choice(letters) for _ in range(400)) for x, letters in (("zh", "的一是不了人我在有他这中大来上国"), ("ja", "のにはをたがでてとしれさあるいも"))}
+    probs = [language_id.learn(lat, [language_id._MARK + text[x].encode()], np.ones(1)) for x in ("ja", "zh")]
+    again = language_id.learn(lat, [language_id._MARK + text["ja"].encode()], np.ones(1), block=20)
+    assert np.allclose(again, probs[0])
+    for k, x in enumerate(("ja", "zh")):
+        odd = "".join(rng.sample(text[x], 60)).encode()
+        assert language_id.log_likelihoods(lat, np.stack(probs, axis=1), [language_id._MARK + odd])[0].argmax() == k
+
+
 # ---------------------------------------------------------------- pieces
 
 ODD = [" a  b\n\nc<s>\t€𐍈", "", "   ", "\r\n\r\n);\r x", "日本語 テスト, 日本", " \n ", "a" * 3000, "<0x0A>", "é, É. naïve!", "x" * 50 + " " * 40, "don't stop(now);_,", "²., f{x}"]

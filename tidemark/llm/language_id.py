@@ -4,7 +4,8 @@ Every language has a probability for each piece of a public SentencePiece vocabu
 included, so any text is covered). The probability of a word is the sum over all its segmentations, computed by the
 forward algorithm on bytes; a text's is the product over its marked words. Piece probabilities are learned by
 expectation maximisation (forward-backward expected counts) on a bounded sample: ``PER_LANGUAGE`` labelled documents of each
-language, those first by a hash of their doc_id, none above ``LONGEST`` characters. Everything else covers all rows.
+language, those first by a hash of their doc_id, none above ``LONGEST`` characters. Words of more than ``TOGETHER`` bytes (text without spaces) are learned from in runs between characters;
+only pieces across the ends of runs go uncounted. Everything else covers all rows.
 
 The score is the posterior of the predicted language under equal priors, its evidence tempered by ``1 / words^0.5``,
 since neighbouring words are not independent.
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from .common import SPACED, Words, byte_slices, mix, read_table, strings
 
 PER_LANGUAGE, LONGEST, ROUNDS, SMOOTHING = 400, 20_000, 3, 0.05
-#: Words up to so many bytes (with the mark's three) go through the forward pass together; longer ones alone.
+#: Words up to so many bytes (with the mark's three) go through the forward pass together; longer ones alone, and are learned from in runs of so many.
 TOGETHER = 32
+#: Words that are learned from together.
+BLOCK = 100_000
 #: Each byte of a word is worth this much more, so that products stay in range; taken off again in logarithms.
 _LIFT = 12.0
 _MARK = "▁".encode()
@@ -157,29 +160,49 @@ def _long(lat: Lattice, prob: np.ndarray, word: bytes) -> np.ndarray:
     return scale + np.log(np.maximum(last[-1], 1e-300))
 
 
-def learn(lat: Lattice, words: list[bytes], counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities of one language by expectation maximisation over marked words and their counts."""
-    size = len(lat.base)
-    lens = np.array([len(w) for w in words])
-    keep = np.flatnonzero(lens <= TOGETHER)
-    order = keep[np.argsort(-lens[keep], kind="stable")]
+def runs(word: bytes, longest: int = TOGETHER) -> list[bytes]:
+    """A marked word in UTF-8, cut before characters into runs of ``longest`` bytes at most; nothing is left out."""
+    out, at = [], 0
+    while len(word) - at > longest:
+        end = at + longest
+        while end > at + 1 and word[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(word[at:end])
+        at = end
+    return [*out, word[at:]]
+
+
+def learn(lat: Lattice, words: list[bytes], counts: np.ndarray, rounds: int = ROUNDS, block: int = BLOCK) -> np.ndarray:
+    """Piece probabilities of one language by expectation maximisation over marked words and their counts.
+
+    Longer words than TOGETHER are learned from in ``runs``. Spans are found once if all fit a block of words, else anew in each round.
+    """
+    size, often = len(lat.base), {}
+    for w, c in zip(words, counts, strict=True):
+        for run in runs(w):
+            often[run] = often.get(run, 0.0) + float(c)
+    order = sorted(often, key=len, reverse=True)
     prob = np.full(size, 1.0 / size)
-    if not len(order):
+    if not order:
         return prob
-    spans, sized = edges(lat, [words[k] for k in order])
-    weight, n, at = counts[order].astype(float), int(sized[0]), np.arange(len(order))
+    weights = np.array([often[w] for w in order])
+    parts = [slice(k, k + block) for k in range(0, len(order), block)]
+    found = edges(lat, order) if len(parts) == 1 else None
     for _ in range(rounds):
-        ahead, back = np.zeros((n + 1, len(order))), np.zeros((n + 1, len(order)))
-        ahead[0], back[sized, at] = 1.0, 1.0
-        lifted = [prob[p] * _LIFT ** (j - i) for i, j, _, p in spans]
-        for (i, j, rows, _), v in zip(spans, lifted, strict=True):
-            ahead[j, rows] += ahead[i, rows] * v
         expected = np.full(size, SMOOTHING)
-        share = weight / ahead[sized, at]
-        for (i, j, rows, p), v in sorted(zip(spans, lifted, strict=True), key=lambda x: (-x[0][1], x[0][0])):
-            back[i, rows] += back[j, rows] * v
-        for (i, j, rows, p), v in zip(spans, lifted, strict=True):
-            expected += np.bincount(p, ahead[i, rows] * v * back[j, rows] * share[rows], size)
+        for part in parts:
+            spans, sized = found or edges(lat, order[part])
+            n, at = int(sized[0]), np.arange(len(sized))
+            ahead, back = np.zeros((n + 1, len(sized))), np.zeros((n + 1, len(sized)))
+            ahead[0], back[sized, at] = 1.0, 1.0
+            lifted = [prob[p] * _LIFT ** (j - i) for i, j, _, p in spans]
+            for (i, j, rows, _), v in zip(spans, lifted, strict=True):
+                ahead[j, rows] += ahead[i, rows] * v
+            share = weights[part] / ahead[sized, at]
+            for (i, j, rows, p), v in sorted(zip(spans, lifted, strict=True), key=lambda x: (-x[0][1], x[0][0])):
+                back[i, rows] += back[j, rows] * v
+            for (i, j, rows, p), v in zip(spans, lifted, strict=True):
+                expected += np.bincount(p, ahead[i, rows] * v * back[j, rows] * share[rows], size)
         prob = expected / expected.sum()
     return prob
 
