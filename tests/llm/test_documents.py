@@ -112,6 +112,16 @@ def test_bit_counts_estimate_similarity():
         assert ((1 - unequal / near_dedup.HASHES) - 0.25) / 0.75 == pytest.approx(share, abs=0.13)
 
 
+def test_small_sets_at_the_threshold_are_not_estimated_apart():
+    rng = np.random.default_rng(5)
+    n = 20_000
+    full = [rng.integers(0, 2**63, 5, dtype=np.uint64) for _ in range(n)]
+    sig = near_dedup.packed(near_dedup.minima([s for x in full for s in (x, x[:4])]))
+    a, b = sig[:, ::2], sig[:, 1::2]
+    unequal = np.bitwise_count(((a[:4] ^ b[:4]) | (a[4:] ^ b[4:])).view(np.uint64)).sum(axis=0)
+    assert (unequal > near_dedup.MOST_UNEQUAL).sum() <= 2
+
+
 # ---------------------------------------------------------------- exact duplicates
 
 

@@ -88,9 +88,16 @@ def band_keys(m: np.ndarray) -> np.ndarray:
 
 
 def packed(m: np.ndarray) -> np.ndarray:
-    """8 x n longs: four of the lowest bits, four of the second."""
-    planes = np.concatenate([m & 1, (m >> 1) & 1]).astype(np.uint8)
-    return np.ascontiguousarray(np.packbits(planes, axis=0).T).view(np.int64).T
+    """8 x n longs: of each minimum, mixed with the number of its hash, four of the lowest bits, four of the second.
+
+    Bits of the minima themselves would not do: the low two of (x ^ a) * m depend on the low two of x alone, so two shingles
+    would agree or differ under all hashes alike.
+    """
+    planes = np.empty((2, *m.shape), np.uint8)
+    for k, row in enumerate(m):
+        v = mix(row.astype(np.uint64) + (np.uint64(k + 1) << np.uint64(32)))
+        planes[0, k], planes[1, k] = v & np.uint64(1), (v >> np.uint64(1)) & np.uint64(1)
+    return np.ascontiguousarray(np.packbits(planes.reshape(-1, m.shape[1]), axis=0).T).view(np.int64).T
 
 
 def _features(width: int):
