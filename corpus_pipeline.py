@@ -14,9 +14,14 @@ from tidemark.llm.pieces import encode_decode
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a learned language; what has no letter (``und``) goes."""
-    known = identify(docs, fit(docs, F.lit(True)), "__lang", "__sure")
-    return known.filter(F.col("__lang") != "und").drop("__lang", "__sure")
+    """Documents with a letter stay, all others go. Neither the predicted language nor its score rejects a document.
+
+    Where no language could be learned every document is ``und``, and those with a letter stay by the same rule.
+    """
+    model = fit(docs, F.lit(True))
+    if not model.languages:
+        return docs.filter(F.col("text").cast("string").rlike(r"\p{L}"))
+    return identify(docs, model, "__lang", "__sure").filter(F.col("__lang") != "und").drop("__lang", "__sure")
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,3 +33,10 @@ def test_stages(spark, tmp_path):
     assert len(seen[4][1]) == len(seen[3][1]) and all(r.decoded == text[r.doc_id] and r.round_trip for r in seen[4][1])
     again = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, tuple(r.ids)) for r in again) == sorted((r.doc_id, tuple(r.ids)) for r in seen[4][1])
+
+
+def test_documents_stay_where_no_language_can_be_learned(spark, tmp_path):
+    rows = [(1, "some clean text", None, "s0", 1), (2, "漢字", None, "s0", 1), (3, "123 456", None, "s0", 1), (4, None, None, None, None), (5, "", None, "s0", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.language_stage(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 2}
