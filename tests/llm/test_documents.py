@@ -191,6 +191,15 @@ def test_languages(spark):
     assert language_id.identify(docs.limit(0), model).count() == 0
 
 
+def test_no_language_is_lost_within_a_long_word():
+    lat = language_id.Lattice(sorted({b"a", b"b"}))
+    prob = np.array([[0.999, 0.001], [0.001, 0.999]])
+    # after 200 times a the second language is 1381 nats behind; 600 times b make up for that
+    word = b"a" * 200 + b"b" * 600
+    got = language_id.log_likelihoods(lat, prob, [word])[0]
+    assert got == pytest.approx([200 * np.log(0.999) + 600 * np.log(0.001), 200 * np.log(0.001) + 600 * np.log(0.999)]) and got.argmax() == 1
+
+
 def test_long_words_are_learned_from():
     word = language_id._MARK + "ab漢字かな𝄞x".encode() * 30
     cuts = language_id.runs(word)

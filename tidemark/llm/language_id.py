@@ -138,26 +138,25 @@ def log_likelihoods(lat: Lattice, prob: np.ndarray, words: list[bytes]) -> np.nd
 
 
 def _long(lat: Lattice, prob: np.ndarray, word: bytes) -> np.ndarray:
-    """One long word, rescaled at every byte; its pieces are found in blocks."""
+    """One long word in logarithms, each language in its own scale; its pieces are found in blocks."""
     from .common import _TABLE, _power
 
-    n, scale = len(word), np.zeros(prob.shape[1])
+    n, keep = len(word), lat.longest + 1
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_TABLE[np.frombuffer(word, np.uint8)] * _power("up", n), out=sums[1:])
     down = _power("down", n + 1)
-    last = [np.ones(prob.shape[1])]
+    last = np.zeros((keep, prob.shape[1]))  # at j % keep the value up to byte j
     for start in range(1, n + 1, 4096):
         ends = np.arange(start, min(n + 1, start + 4096))
         begins = ends[:, None] - np.arange(1, lat.longest + 1)[None, :]
         piece = lat.find(mix((sums[ends][:, None] - sums[np.maximum(begins, 0)]) * down[np.maximum(begins, 0)]))
         piece[begins < 0] = -1
-        for row in piece:
-            total = sum(last[-1 - l] * prob[row[l]] for l in np.flatnonzero(row >= 0))
-            top = total.max()
-            # all in one frame: the newest value is 1 at most, older ones are kept relative to it
-            last = [v / top for v in last[-lat.longest + 1 :]] + [total / top]
-            scale += np.log(top)
-    return scale + np.log(np.maximum(last[-1], 1e-300))
+        for j, row in enumerate(piece, start):
+            hit = np.flatnonzero(row >= 0)
+            terms = last[(j - 1 - hit) % keep] + np.log(prob[row[hit]])
+            top = terms.max(axis=0)
+            last[j % keep] = top + np.log(np.exp(terms - top).sum(axis=0))
+    return last[n % keep].copy()
 
 
 def runs(word: bytes, longest: int = TOGETHER) -> list[bytes]:
