@@ -38,7 +38,8 @@ PLACES = {"glosten_milgrom": 9} | dict.fromkeys(
 
 
 def placed(sql: str, places: int) -> str:
-    return sql.replace("round(v, 4)", f"round(v, {places - 2})").replace("round(v, 6)", f"round(v, {places})") if places > 6 else sql.replace("round(v, 4)", "round(v, 2)").replace("round(v, 6)", f"round(v, {places})")
+    """``sql`` with its rounding to six places (four from a thousand on) made one to ``places`` (two fewer), as the engine rounds."""
+    return sql.replace("round(v, 4)", f"round(v, {places - 2})").replace("round(v, 6)", f"round(v, {places})")
 
 
 def windowed(base: str, period: int, columns: dict[str, str], first: int | None = None, stages: str = "", source: str = "b", where: str | None = None, raw: tuple[str, ...] = ()) -> str:
