@@ -533,3 +533,59 @@ def test_toxic_sentences_are_found(spark):
     assert got[1003].predicted == 1 and got[1003].offending == "0:10" and got[1003][1:] == got[1004][1:]
     assert toxicity.score(docs_of(spark, rows[:2]).drop("score"), toxicity.fit(docs_of(spark, rows), table.limit(0), F.lit(True))).first().score == 0.0
     assert toxicity.score(docs_of(spark, []).drop("score"), model).count() == 0
+
+
+def test_noisy_or_by_brute_force():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    stems, texts = ["gruml", "fóóbi"], []
+    for i in range(900):
+        words = ["".join(rng.choice(["ka", "lo", "mi", "tu", "re", "só"]) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(3, 120))]
+        if i % 6 == 0:
+            for _ in range(1 + len(words) // 30):
+                words[rng.randrange(len(words))] = rng.choice(stems) + "".join(rng.choice(["ka", "lo", "mi", "tu", "re"]) for _ in range(2))
+        texts.append("".join(w + rng.choice([" ", " ", ", ", ". ", "\n"]) for w in words))
+    toxic = np.array([i % 6 == 0 for i in range(900)])
+    model = toxicity.learn(texts[:600], toxic[:600])
+    weight = dict(zip(model.parts.tolist(), model.weights.tolist(), strict=True))
+
+    def parts(word):
+        """Hashes of the parts of one word, in a text of its own."""
+        s = toxicity.Sentences(*next(x[2:] for x in toxicity.byte_slices(pa.array([word]))))
+        return [int(h) for own, found in s.parts() for h in found]
+
+    def sentences(text):
+        out = []
+        for line in re.split(r"[\n\r!.?]", text.lower()):
+            words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", line)
+            out += [words[k : k + toxicity.LONGEST_SENTENCE] for k in range(0, len(words), toxicity.LONGEST_SENTENCE)]
+        return out
+
+    column = pa.array(texts[600:])
+    (_, n, data, offsets), = toxicity.byte_slices(column)
+    s = toxicity.Sentences(data, offsets)
+    p = model.sentence_scores(s)
+    e = model.evidence(s, p, n)
+    scores = model.document_scores(e, np.diff(s.words.first))
+    base = 1 / (1 + np.exp(-toxicity.BIAS))
+    at = 0
+    for k, text in enumerate(texts[600:]):
+        miss = 1.0
+        for words in sentences(text):
+            z = toxicity.BIAS + sum(weight.get(h, 0.0) for w in words for h in parts(w))
+            own = 1 / (1 + np.exp(-z))
+            assert p[at] == pytest.approx(own, rel=1e-9)
+            miss *= (1 - min(own, 1 - 1e-12)) / (1 - base) if own > base else 1.0
+            at += 1
+        assert e[k] == pytest.approx(-np.log(miss), rel=1e-6, abs=1e-9)
+    assert at == s.count
+    # stems speak for endings that learning never saw
+    assert (scores[toxic[600:]] >= 0.7).mean() >= 0.95 and (scores[~toxic[600:]] < 0.7).mean() >= 0.98
+
+
+def test_toxicity_refuses_clashing_names(spark):
+    with pytest.raises(ValueError, match="predicted"):
+        toxicity.score(docs_of(spark, [(1, "x")]).drop("score").withColumn("Predicted", F.lit(1)), None)
+    got = toxicity.score(docs_of(spark, [(1, "x"), (2, None)]).drop("score"), None).collect()
+    assert [r.score for r in got] == [0.0, 0.0]

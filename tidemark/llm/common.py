@@ -41,6 +41,13 @@ def cut(df: DataFrame, label: str, codec: str = "snappy", release: bool = False)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def refuse(docs: DataFrame, *made: str) -> None:
+    """Raise where ``docs`` already has a column that an operator is about to make (names differ by more than case)."""
+    clash = sorted(c for c in docs.columns if c.lower() in {m.lower() for m in made})
+    if clash:
+        raise ValueError(f"columns {clash} of the input would clash with those of the result: rename or drop them first")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -91,12 +98,18 @@ class Words:
         self.start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
         self.end = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
         self.first = np.searchsorted(self.start, offsets)
+        self._sums: np.ndarray | None = None
 
-    def hashes(self) -> np.ndarray:
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of byte spans: equal bytes have equal hashes wherever they stand."""
         n = len(self.data)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLE[self.data] * _power("up", n), out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * _power("down", n + 1)[self.start])
+        if self._sums is None:
+            self._sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_TABLE[self.data] * _power("up", n), out=self._sums[1:])
+        return mix((self._sums[end] - self._sums[start]) * _power("down", n + 1)[start])
+
+    def hashes(self) -> np.ndarray:
+        return self.spans(self.start, self.end)
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
@@ -143,8 +156,3 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         labels = moved.select("id", "component")
         if moved.filter("component != old").isEmpty():
             return labels
-
-
-def joined(out: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for batch in out:
-        yield batch.cast(schema) if batch.schema != schema else batch
