@@ -584,8 +584,61 @@ def test_noisy_or_by_brute_force():
     assert (scores[toxic[600:]] >= 0.7).mean() >= 0.95 and (scores[~toxic[600:]] < 0.7).mean() >= 0.98
 
 
-def test_toxicity_refuses_clashing_names(spark):
-    with pytest.raises(ValueError, match="predicted"):
-        toxicity.score(docs_of(spark, [(1, "x")]).drop("score").withColumn("Predicted", F.lit(1)), None)
-    got = toxicity.score(docs_of(spark, [(1, "x"), (2, None)]).drop("score"), None).collect()
-    assert [r.score for r in got] == [0.0, 0.0]
+def test_columns_of_the_same_name_give_way(spark):
+    docs = docs_of(spark, [(1, "x y"), (2, None)]).withColumn("Predicted", F.lit(7)).withColumn("ids", F.lit("a")).withColumn("__letter", F.lit("b")).withColumn("lang_pred", F.lit("c"))
+    got = toxicity.score(docs, None)
+    assert [r.score for r in got.collect()] == [0.0, 0.0] and got.columns.count("score") == 1 and "Predicted" not in got.columns
+    assert {r.predicted for r in got.collect()} == {0}
+    got = pieces.encode_decode(docs).collect()
+    assert got[0].decoded == "x y" and got[0]["__letter"] == "b" and isinstance(got[0].ids, list)
+    none = language_id.Model(language_id.vocabulary_path(), [], np.empty((0, 0)))
+    got = language_id.identify(docs, none).collect()
+    assert got[0].lang_pred == "und" and got[0]["__letter"] == "b" and got[0].ids == "a"
+    assert pieces.encode_decode(docs_of(spark, [(1, "a\u2581b")])).first().round_trip is False
+
+
+def test_mixed_takes_what_the_mix_says(spark):
+    rows = [(None, f"w{i} x", "en", "a") for i in range(40)] + [(7, "same text", "en", "b")] * 5 + [(8, "one", "en", "b"), (8, "two three", "en", "b")]
+    docs = docs_of(spark, rows).withColumn("__copies", F.lit("mine"))
+    drawn, got = mixing.mix(docs).collect(), mixing.mixed(docs).collect()
+    assert len(got) == sum(r.copies for r in drawn) and {r["__copies"] for r in got} == {"mine"}
+    assert Counter(r.doc_id for r in got) == +Counter({i: sum(r.copies for r in drawn if r.doc_id == i) for i in (None, 7, 8)})
+
+
+def test_near_threshold_lines_of_all_kinds_are_linked():
+    import pyarrow as pa
+
+    rng = random.Random(21)
+    kinds = {"letters": "abcdefghijklmnopqrstuvwxyz", "digits": "0123456789", "spaced": "abcde fgh ", "cjk": "的一是不了人我在有他这中大来上国个到说们"}
+    for name, letters in kinds.items():
+        pairs = []
+        while len(pairs) < 400:
+            line = "".join(rng.choice(letters) for _ in range(rng.choice([24, 60, 80, 200])))
+            other = list(line)
+            for _ in range(rng.randrange(1, 2 + len(line) // 50)):
+                other[rng.choice([0, len(other) - 1, rng.randrange(len(other))])] = rng.choice(letters)
+            a, b = ({x[k : k + 5] for k in range(len(x) - 4)} for x in (line, "".join(other)))
+            if 0.8 <= len(a & b) / len(a | b) < 1:
+                pairs.append((line, "".join(other)))
+        flat = pa.array([x for p in pairs for x in p])
+        (_, _, data, offsets), = line_dedup.byte_slices(flat, 1 << 40)
+        hashes, first = line_dedup.shingles(data, offsets)
+        assert [set(hashes[a:b].tolist()).__len__() for a, b in zip(first[:20], first[1:21])] == [len({x[k : k + 5] for k in range(len(x) - 4)}) for p in pairs[:10] for x in p]
+        assert line_dedup.similar(hashes, first, 80).all()
+        keys = line_dedup.band_keys(hashes, first)
+        assert (keys[::2] == keys[1::2]).any(axis=1).mean() >= 0.995, name
+
+
+def test_one_very_common_and_one_very_long_line(spark):
+    rows = [(i, "the very same line of every text\n" + prose(random.Random(i), 12)) for i in range(200)] + [(500, "x" * 300_000 + "\n" + "漢" * 3), (501, "x" * 300_000), (None, "the very same line of every text"), (502, "x" * 300_001)]
+    got = line_dedup.fuzzy_lines(docs_of(spark, rows)).collect()
+    common = [r for r in got if r.line_no == 0 and (r.doc_id is None or r.doc_id < 200)]
+    assert len(common) == 201 and {(r.first_doc, r.first_line, r.copies) for r in common} == {(0, 0, 201)} and sum(r.kept for r in common) == 1
+    assert {(r.doc_id, r.first_doc) for r in got if r.doc_id in (500, 501, 502) and r.line_no == 0} == {(500, 500), (501, 500), (502, 500)}
+
+
+def test_lines_whose_hash_meets(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup.F, "xxhash64", lambda *c: F.lit(1).cast("long"))
+    rows = [(1, "one line of some length here"), (2, "one line of some length Here"), (3, "quite another, of words its own"), (4, "one line of some length here")]
+    got = {r.doc_id: (r.first_doc, r.copies) for r in line_dedup.fuzzy_lines(docs_of(spark, rows)).collect()}
+    assert got == {1: (1, 2), 2: (2, 1), 3: (3, 1), 4: (1, 2)}

@@ -1,48 +1,119 @@
-"""Fuzzy line dedup by MinHash, in DataFrame functions alone.
-
-A line is a stretch of a text between newlines. Equal lines collapse first. A line's signature is taken of all its
-shingles of ``EXACT`` characters, the same set that verifies. One permutation feeds all ``BINS`` minima: a shingle's hash picks its bin
-and competes there. Bands of two bins give bucket keys; a pair of similarity 0.8 misses all twelve bands with probability
-(1 - 0.8^2)^12 = 5e-6, in short lines with up to 2e-5 (simulated: 4 of 5 shingles shared 1.8e-5 of 4,000,000, 8 of 10 none of
-4,000,000). Candidates whose packed minima agree in too few bins are dropped (``alike``: 7e-6 of pairs of similarity 0.8 at most), the others verified exactly: Jaccard similarity of at least
-``LEAST_PERCENT`` of the full sets of both lines. Verified links run through distributed label propagation (union-find), and one line of each
+"""Fuzzy line dedup by MinHash: character shingles, banding, exact verification, union-find.
+
+A line is a stretch of a text between newlines. Equal lines collapse first, under an identifier that is verified: if two distinct lines share
+their 64-bit hash anywhere, SHA-256 identifies all. A line's signature is ``BANDS`` x ``ROWS`` independent
+minima over all its shingles of ``EXACT`` characters, the same set that verifies. Each band is a bucket key; a pair of similarity
+0.8 misses all bands with probability (1 - 0.8^4)^14 = 6e-4, one of 0.85 with 3e-5, one of 0.9 with 9e-8. There is no other filter: every
+banded candidate that is not yet in one component with its leader is verified on the full sets of both lines, Jaccard similarity of at least
+``LEAST_PERCENT``. Verified links run through distributed label propagation (union-find), and one line of each
 component stays: the first by (doc_id, line number).
 
 In a bucket every line is compared with leaders, not with every other line: of lines not yet in one component the one
 with the smallest identifier leads, then more of them, until each bucket is settled (compare ``near_dedup``).
 
-Identifiers of lines are 64-bit hashes, checked by a second hash: lines that share the first but not the second are
-left out of fuzzy linking and collapse by both hashes only.
+Signatures and verification are vectorised functions over Arrow batches; built-in functions made a string of every shingle, and took
+several times the time the operator may take (figures in the README). All else is DataFrame operations.
 
 Nulls and edge cases: a null text has no lines. Lines of white space alone are kept and never linked. Lines shorter than a
-shingle are one shingle. Rows that repeat a doc_id keep or lose their lines alike; a null doc_id sorts last. An empty table gives an empty result.
+shingle are one shingle. Rows that repeat a doc_id keep or lose their lines alike; a null doc_id sorts last; of equal (doc_id, line number)
+both stay or both go. An empty table gives an empty result. Extra columns of any name go with their rows in ``without_similar_lines``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, read_table
+from .common import Spans, byte_slices, components, frugal, mix, read_table, strings, unused
 from .common import cut as _cut
 
 cut = partial(_cut, codec="zstd", release=True)
 
-EXACT, BINS, LEAST_PERCENT = 5, 24, 80
+EXACT, BANDS, ROWS, LEAST_PERCENT = 5, 14, 4, 80
 LEADERS = (1, 8, 64)
-_EVERY = rf"(?s)(?=(.{{{EXACT}}}))"
-
-
-def every_shingle(line: Column | str) -> Column:
-    """The shingles of EXACT characters from every place on, repeats included; a shorter line is its own only one."""
-    line = F.col(line) if isinstance(line, str) else line
-    return F.when(F.length(line) < EXACT, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_EVERY), F.lit(1)))
-
-
-def exact_set(line: Column) -> Column:
-    return F.array_distinct(every_shingle(line))
+#: Bytes of lines whose shingles are handled together, so that they stay in a core's cache.
+TOGETHER = 1 << 17
+
+_rng = np.random.Generator(np.random.PCG64(8))
+_XOR = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+_MUL = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ORDER = _rng.integers(1, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first): of line i the shingles ``first[i]:first[i + 1]``, repeats included; a line of fewer characters is its own only one."""
+    leads = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where each character begins
+    chars = np.searchsorted(leads, offsets)
+    size = np.diff(chars)
+    count = np.where(size > 0, np.maximum(size - EXACT + 1, 1), 0)
+    first = np.concatenate([[0], np.cumsum(count)])
+    at = np.arange(first[-1]) + np.repeat(chars[:-1] - first[:-1], count)
+    return Spans(data).spans(leads[at], leads[np.minimum(at + EXACT, np.repeat(chars[1:], count))]), first
+
+
+def band_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """lines x BANDS; every line has a shingle."""
+    x = (hashes >> np.uint64(32)).astype(np.uint32)
+    keys, v = np.empty((len(first) - 1, BANDS), np.int64), np.empty_like(x)
+    for band in range(BANDS):
+        key = np.full(len(first) - 1, band, np.uint64)
+        for row in range(ROWS):
+            k = band * ROWS + row
+            np.bitwise_xor(x, _XOR[k], out=v)
+            np.multiply(v, _MUL[k], out=v)
+            key = mix(key + np.minimum.reduceat(v, first[:-1]).astype(np.uint64) * _ORDER[row])
+        keys[:, band] = key.view(np.int64)
+    return keys
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, keys) of lines (id, line) that are not empty."""
+    for batch in batches:
+        for i, j, data, offsets in byte_slices(strings(batch.column(1)), TOGETHER):
+            keys = band_keys(*shingles(data, offsets)).ravel()
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * BANDS), pa.array(keys))], ["id", "keys"])
+
+
+def similar(hashes: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
+    """Whether lines 2k and 2k + 1 are similar, for each k, by their sets of shingles."""
+    pairs = (len(first) - 1) // 2
+    line = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    # each shingle once a line, then those of a pair side by side
+    order = np.lexsort((hashes, line))
+    line, hashes = line[order], hashes[order]
+    once = np.ones(len(line), bool)
+    once[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
+    line, hashes = line[once], hashes[once]
+    order = np.lexsort((hashes, line >> 1))
+    pair, hashes = line[order] >> 1, hashes[order]
+    both = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (hashes[1:] == hashes[:-1])], minlength=pairs)
+    return 100 * both >= percent * (np.bincount(pair, minlength=pairs) - both)
+
+
+def _confirmed(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            sides = pa.concat_arrays([strings(batch.column(2)), strings(batch.column(3))])
+            lines = sides.take(pa.array(np.arange(2 * n).reshape(2, n).T.ravel()))
+            good, k = np.zeros(n, bool), 0
+            sizes = pa.compute.binary_length(lines).to_numpy(zero_copy_only=False).reshape(n, 2).sum(axis=1)
+            while k < n:  # runs of whole pairs
+                j = max(k + 1, k + int(np.searchsorted(np.cumsum(sizes[k:]), 4 * TOGETHER, "right")))
+                (_, _, data, offsets), = byte_slices(lines.slice(2 * k, 2 * (j - k)), 1 << 62)
+                good[k:j] = similar(*shingles(data, offsets), percent)
+                k = j
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
+
+    return run
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -50,90 +121,38 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """(h, p0, p1, p2, keys) of distinct ``lines(h, line)``: a byte of each bin's minimum (0 if the bin is empty), and band keys."""
-    pieces = lines.select("h", F.explode(every_shingle("line")).alias("piece")).select("h", F.xxhash64("piece").alias("v"))
-    pieces = pieces.select("h", "v", F.pmod(F.col("v"), F.lit(BINS)).alias("bin"))
-    bins = pieces.groupBy("h").agg(*[F.min(F.when(F.col("bin") == b, F.col("v"))).alias(f"b{b}") for b in range(BINS)])
-
-    def byte(b: int) -> Column:
-        return F.coalesce(F.pmod(F.shiftrightunsigned(F.col(f"b{b}"), 9), F.lit(255)) + 1, F.lit(0)).cast("long")
-
-    packed = []
-    for start in range(0, BINS, 8):
-        word = byte(start)
-        for i in range(1, 8):
-            word = word.bitwiseOR(F.shiftleft(byte(start + i), 8 * i))
-        packed.append(word.alias(f"p{start // 8}"))
-    keys = [F.when(F.col(f"b{x}").isNotNull() | F.col(f"b{x + 1}").isNotNull(), F.xxhash64(F.lit(x), f"b{x}", f"b{x + 1}")) for x in range(0, BINS, 2)]
-    return bins.select("h", *packed, F.array(*keys).alias("keys"))
-
-
-def _filled(word: Column) -> Column:
-    """Bytes of a long that are not zero."""
-    for shift in (4, 2, 1):
-        word = word.bitwiseOR(F.shiftrightunsigned(word, shift))
-    return F.bit_count(word.bitwiseAND(F.lit(0x0101010101010101)))
-
-
-_PACKED = [f"p{i}" for i in range(BINS // 8)]
-
-
-def alike() -> Column:
-    """Whether signatures p and l_p agree in nine of twenty filled bins, less one.
-
-    At similarity 0.8, 19 of 24 bins agree on average, with deviation 2; fewer than the ten asked for with probability 7e-6.
-    """
-    union = sum((_filled(F.col(p).bitwiseOR(F.col(f"l_{p}"))) for p in _PACKED), F.lit(0))
-    differ = sum((_filled(F.col(p).bitwiseXOR(F.col(f"l_{p}"))) for p in _PACKED), F.lit(0))
-    return 20 * (union - differ) + 20 >= 9 * union
-
-
-def confirmed(a: Column, b: Column, percent: int) -> Column:
-    """Whether the full shingle sets of two lines are similar. Each set is made once."""
-
-    def once(values: Column, then) -> Column:
-        return F.transform(F.array(values), then)[0]
-
-    def exact(s: Column) -> Column:
-        sizes = F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("both"), (F.size(s["x"]) + F.size(s["y"])).alias("sum"))
-        return once(sizes, lambda n: 100 * n["both"] >= percent * (n["sum"] - n["both"]))
-
-    return once(F.struct(exact_set(a).alias("x"), exact_set(b).alias("y")), exact)
-
-
 def similar_lines(lines: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
-    """(id, component) of the ``lines(h, line)`` that are linked with another."""
-    signed = cut(signatures(lines), "line-signatures")
-    rows = signed.select("h", F.explode("keys").alias("key")).filter("key is not null")
-    shared = rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo != hi").select("key")
-    members = cut(rows.join(shared, "key").join(signed.drop("keys"), "h").select("key", F.col("h").alias("id"), F.col("h").alias("comp"), *_PACKED), "line-members")
+    """(id, component) of the distinct ``lines(id, line)`` that are linked with another."""
+    kind = lines.schema["id"].dataType.simpleString()
+    signed = cut(lines.select("id", "line").mapInArrow(frugal(_signed), f"id {kind}, keys array<long>"), "line-signatures")
+    rows = signed.select("id", F.explode("keys").alias("key"))
+    shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "line-shared")
+    members = cut(rows.join(shared, "key").select("key", "id", F.col("id").alias("comp")), "line-members")
     comps, tested, pool = None, None, lines
     turn = 0
     while True:
         open_keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
         here = cut(members.join(open_keys, "key"), "line-open")
-        if not here.isEmpty():
-            # only lines that may still be compared go on; each round has fewer
-            pool = cut(pool.join(here.select(F.col("id").alias("h")).distinct(), "h"), "line-pool")
-        else:
-            return comps if comps is not None else lines.sparkSession.createDataFrame([], "id long, component long")
+        if here.isEmpty():
+            return comps if comps is not None else lines.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
+        # only lines that may still be compared go on; each round has fewer
+        pool = cut(pool.join(here.select("id").distinct(), "id"), "line-pool")
         lead = LEADERS[min(turn, len(LEADERS) - 1)] * 8 ** max(0, turn - len(LEADERS) + 1)
-        of_leader = [F.col(c).alias(f"l_{c}") for c in ("id", "comp", *_PACKED)]
+        of_leader = [F.col(c).alias(f"l_{c}") for c in ("id", "comp")]
         if lead == 1:
             leaders = here.groupBy("key").agg(F.min_by(F.struct(*of_leader), "id").alias("l")).select("key", "l.*")
         else:
             ranked = here.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("r") <= lead)
             leaders = ranked.select("key", *of_leader)
         leaders = cut(leaders, "line-leaders")
-        met = here.alias("m").join(leaders.alias("l"), (F.col("m.key") == F.col("l.key")) & (F.col("comp") != F.col("l_comp")) & alike())
+        met = here.join(leaders, "key").filter("comp != l_comp")
         pairs = met.select(F.least("id", "l_id").alias("a"), F.greatest("id", "l_id").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs, "line-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        sides = pairs.join(pool.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(pool.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
-        links = cut(sides.filter(confirmed(F.col("la"), F.col("lb"), percent)).select("a", "b"), "line-links")
+        sides = pairs.join(pool.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(pool.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+        links = cut(sides.select("a", "b", "la", "lb").mapInArrow(frugal(_confirmed(percent)), f"a {kind}, b {kind}"), "line-links")
         every = links if comps is None else links.unionByName(comps.filter("id != component").select(F.col("component").alias("a"), F.col("id").alias("b")))
         if comps is None or not links.isEmpty():
             comps = components(every, "line")
@@ -148,31 +167,38 @@ def fuzzy_lines(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
 
     (first_doc, first_line) is the line that stays for the line's component, and copies how many lines the component has.
     """
-    lines = line_table(docs).select("doc_id", "line_no", "line", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("g"))
-    worded = lines.filter(F.col("line").rlike(r"\S"))
-    distinct = worded.groupBy("h", "g", "line").agg(F.lit(1).alias("one")).select("h", "g", "line")
-    distinct = cut(distinct, "line-distinct")
-    clash = distinct.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo != hi").select("h")
-    alone = distinct if clash.isEmpty() else distinct.join(clash, "h", "left_anti")
-    linked = similar_lines(alone.select("h", "line"), percent)
-    places = lines.select("doc_id", "line_no", F.when(F.col("line").rlike(r"\S"), F.col("h")).alias("h"), "g").join(linked.withColumnRenamed("id", "h"), "h", "left")
-    # a linked line belongs to its component whatever its second hash, others to their two hashes
-    places = cut(places.select("doc_id", "line_no", "h", F.coalesce("component", "h").alias("c"), F.when(F.col("component").isNull(), F.col("g")).alias("d")), "line-places")
+    lines, worded = line_table(docs), F.col("line").rlike(r"\S")
+    for identifier in (F.xxhash64, lambda c: F.sha2(c, 256)):
+        distinct = cut(lines.filter(worded).select(identifier(F.col("line")).alias("id"), "line").groupBy("id", "line").agg(F.lit(1).alias("one")).select("id", "line"), "line-distinct")
+        if distinct.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+            break
+    else:
+        raise ValueError("distinct lines share an identifier of every kind")
+    places = cut(lines.select("doc_id", "line_no", F.when(worded, identifier(F.col("line"))).alias("id")), "line-places")
+    # what each distinct line brings, then each component; places meet that once, by their own line
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line_no")
-    first = places.filter("h is not null").groupBy("c", "d").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
-    met = places.filter("h is not null").alias("p").join(first.alias("f"), (F.col("p.c") == F.col("f.c")) & F.col("p.d").eqNullSafe(F.col("f.d")))
-    met = met.select("doc_id", "line_no", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"), "copies")
-    blank = places.filter("h is null").select("doc_id", "line_no", F.col("doc_id").alias("first_doc"), F.col("line_no").alias("first_line"), F.lit(1).cast("long").alias("copies"))
-    kept = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
-    return met.unionByName(blank).withColumn("kept", kept)
+    own = places.filter("id is not null").groupBy("id").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
+    linked = similar_lines(distinct, percent)
+    own = cut(own.join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("c"), "first", "copies"), "line-own")
+    whole = own.groupBy("c").agg(F.min("first").alias("first"), F.sum("copies").alias("copies"))
+    told = own.select("id", "c").join(whole, "c").select("id", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"), "copies")
+    blank = F.col("id").isNull()
+    met = places.join(told, "id", "left").select(
+        "doc_id", "line_no",
+        F.when(blank, F.col("doc_id")).otherwise(F.col("first_doc")).alias("first_doc"),
+        F.when(blank, F.col("line_no")).otherwise(F.col("first_line")).alias("first_line"),
+        F.when(blank, F.lit(1)).otherwise(F.col("copies")).cast("long").alias("copies"),
+    )
+    return met.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line_no") == F.col("first_line")))
 
 
 def without_similar_lines(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     """``docs`` with the lines that go taken out of ``text``; rows and other columns stay."""
-    gone = fuzzy_lines(docs, percent).filter("not kept").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    rows = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
-    kept = F.filter(F.split(F.col("text"), "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("__gone", i), F.lit(False)))
-    return rows.select(*[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    own, out = unused(docs, "__id"), unused(docs, "__gone")
+    gone = fuzzy_lines(docs, percent).filter("not kept").groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("line_no").alias(out))
+    rows = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left")
+    kept = F.filter(F.split(F.col("text"), "\n", -1), lambda x, i: ~F.coalesce(F.array_contains(out, i), F.lit(False)))
+    return rows.select(*[F.when(F.col(out).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
 def op8_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
