@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +42,17 @@ def cut(df: DataFrame, label: str, codec: str = "snappy", release: bool = False)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def refuse(docs: DataFrame, *made: str) -> None:
-    """Raise where ``docs`` already has a column that an operator is about to make (names differ by more than case)."""
-    clash = sorted(c for c in docs.columns if c.lower() in {m.lower() for m in made})
-    if clash:
-        raise ValueError(f"columns {clash} of the input would clash with those of the result: rename or drop them first")
+def without(docs: DataFrame, *made: str) -> DataFrame:
+    """``docs`` less its columns whose names, in any case, an operator is about to make: the operator's own take their place."""
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in {m.lower() for m in made}])
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,9 +79,11 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 def _power(which: str, n: int) -> np.ndarray:
     have = _powers[which]
     if len(have) < n:
-        steps = np.full(max(n, 2 * len(have)), _BASE if which == "up" else _INVERSE, np.uint64)
+        steps = np.full((n | 0xFFFF) + 1, _BASE if which == "up" else _INVERSE, np.uint64)
         steps[0] = 1
-        have = _powers[which] = np.cumprod(steps)
+        have = np.cumprod(steps)
+        if n <= 1 << 20:  # those of a very long text are not kept
+            _powers[which] = have
     return have[:n]
 
 
@@ -85,11 +94,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Words:
+class Spans:
+    """Hashes of spans of some bytes."""
+
+    def __init__(self, data: np.ndarray):
+        self.data, self._sums = data, None
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of byte spans: equal bytes have equal hashes wherever they stand."""
+        n = len(self.data)
+        if self._sums is None:
+            self._sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_TABLE[self.data] * _power("up", n), out=self._sums[1:])
+        return mix((self._sums[end] - self._sums[start]) * _power("down", n + 1)[start])
+
+
+class Words(Spans):
     """The words of some texts: byte spans, 64-bit hashes, and ``first[i]:first[i+1]`` for text i."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray, lower: bool = True):
-        self.data = _LOWER[data] if lower else data
+        super().__init__(_LOWER[data] if lower else data)
         n = len(data)
         inside = np.zeros(n + 2, bool)
         inside[1:-1] = word_byte[self.data]
@@ -98,15 +122,6 @@ class Words:
         self.start = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
         self.end = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
         self.first = np.searchsorted(self.start, offsets)
-        self._sums: np.ndarray | None = None
-
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte spans: equal bytes have equal hashes wherever they stand."""
-        n = len(self.data)
-        if self._sums is None:
-            self._sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(_TABLE[self.data] * _power("up", n), out=self._sums[1:])
-        return mix((self._sums[end] - self._sums[start]) * _power("down", n + 1)[start])
 
     def hashes(self) -> np.ndarray:
         return self.spans(self.start, self.end)
@@ -115,7 +130,7 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
-def byte_slices(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def byte_slices(texts: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from, to, bytes, offsets) for runs of texts of about ``limit`` bytes; a longer text makes a run of its own. Null counts as empty."""
     texts = texts.fill_null("") if texts.null_count else texts
     if not len(texts):
@@ -131,6 +146,23 @@ def byte_slices(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, in
         i = j
 
 
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` giving the memory it freed back to the system at its end: a worker lives on after its task, and so would that memory."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library; others do without
+    if trim is not None:
+        trim(0)
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 

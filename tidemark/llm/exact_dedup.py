@@ -8,7 +8,7 @@ identifiers, a few longs each; no long text moves again.
 
 Nulls and edge cases: a null text counts as empty; empty texts share the empty recipe and so one group. A null
 doc_id is never the largest unless all of its group are null. Rows that repeat both doc_id and text are the
-same document and carry the same decision. An empty table gives an empty result.
+same document and carry the same decision. Extra columns of any name go with their rows. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import cut, read_table, unused
 
 LEAST, MOST = 512, 4096
 _CHUNK = rf"(?s).{{{LEAST},{MOST}}}?(?:(?<=[\n.!?])|\z)|.{{1,{MOST}}}"
@@ -56,10 +56,11 @@ def exact_duplicates(docs: DataFrame, kinds: Sequence[Callable[[Column], Column]
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that stay, each once, with all their columns."""
-    stay = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    marked = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__sha", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    hits = marked.join(stay, marked["__id"].eqNullSafe(stay["__id"]) & (marked["__sha"] == stay["__sha"]), "left_semi")
-    return hits.dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    own, sha = unused(docs, "__id"), unused(docs, "__sha")
+    stay = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias(own), F.col("text_sha256").alias(sha)).distinct()
+    marked = docs.withColumn(own, F.col("doc_id").cast("long")).withColumn(sha, F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    hits = marked.join(stay, marked[own].eqNullSafe(stay[own]) & (marked[sha] == stay[sha]), "left_semi")
+    return hits.dropDuplicates([own, sha]).select(*docs.columns)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

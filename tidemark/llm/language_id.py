@@ -11,7 +11,8 @@ The score is the posterior of the predicted language under equal priors, its evi
 since neighbouring words are not independent.
 
 Nulls and edge cases: a null text, or one without a letter, is ``und`` with score 0. With no labelled document at all
-every text is ``und``. An equal best goes to the language first by code point.
+every text is ``und``. An equal best goes to the language first by code point. Input columns named as the two
+made here give way to them. More than 512 languages raise a ValueError; a language all of whose labelled texts exceed ``LONGEST`` is not learned.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, byte_slices, mix, read_table, strings
+from .common import SPACED, Words, byte_slices, frugal, mix, read_table, strings, unused, without
 
 PER_LANGUAGE, LONGEST, ROUNDS, SMOOTHING = 400, 20_000, 3, 0.05
 #: Words up to so many bytes (with the mark's three) go through the forward pass together; longer ones alone, and are learned from in runs of so many.
 TOGETHER = 32
-#: Words that are learned from together.
-BLOCK = 100_000
+#: Words that are learned from together, and words scored together.
+BLOCK, AT_ONCE = 100_000, 1 << 14
 #: Each byte of a word is worth this much more, so that products stay in range; taken off again in logarithms.
 _LIFT = 12.0
 _MARK = "▁".encode()
@@ -124,8 +125,9 @@ def log_likelihoods(lat: Lattice, prob: np.ndarray, words: list[bytes]) -> np.nd
     out = np.empty((len(words), prob.shape[1]))
     lens = np.array([len(w) for w in words])
     short = np.flatnonzero(lens <= TOGETHER)
-    order = short[np.argsort(-lens[short], kind="stable")]
-    if len(order):
+    sorted_ = short[np.argsort(-lens[short], kind="stable")]
+    for k in range(0, len(sorted_), AT_ONCE):  # words of about one length share a lattice
+        order = sorted_[k : k + AT_ONCE]
         spans, sized = edges(lat, [words[k] for k in order])
         ahead = np.zeros((int(sized[0]) + 1, len(order), prob.shape[1]))
         ahead[0] = 1.0
@@ -240,7 +242,7 @@ def fit(docs: DataFrame, usable: Column, path: str | None = None, per_language:
 def score_texts(model: Model, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from, to, best language, score) over runs of the texts."""
     lat = lattice(model.path)
-    for i, j, data, offsets in byte_slices(texts, 1 << 20):  # the lattices of a run's distinct words stay near 100 MB
+    for i, j, data, offsets in byte_slices(texts, 1 << 20):
         words = Words(data, offsets, SPACED, lower=False)
         _, where, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
         loglik = log_likelihoods(lat, model.prob, [_MARK + words.word(k) for k in where])
@@ -255,7 +257,8 @@ def identify(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str
     """``docs`` with all its columns, and the predicted language and score of ``text`` in two more."""
     if len(model.languages) > 512:
         raise ValueError("the model is sent to every task; 512 languages at most")
-    rows = docs.withColumn("__letter", F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
+    docs = without(docs, pred, score)
+    rows = docs.withColumn(unused(docs, "__letter"), F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
     text_at = docs.columns.index("text")
     names = [*docs.columns, pred, score]
 
@@ -273,7 +276,7 @@ def identify(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], tags.take(pa.array(best)), pa.array(sure)], names)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(run, f"{kinds}, `{pred}` string, `{score}` double")
+    return rows.mapInArrow(frugal(run), f"{kinds}, `{pred}` string, `{score}` double")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

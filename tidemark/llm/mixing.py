@@ -12,8 +12,8 @@ The tree: leaves are (source, salt) groups of about ``LEAF`` documents, each lea
 ``FAN`` neighbours combine at a time until one is left per source. Documents go by falling size, so that the one left is small.
 All draws are seeded by source, salt and level, so reruns agree whatever the partitioning.
 
-Nulls and edge cases: null or wordless text has size 0 and takes 0. A null source is a source of its own. A null
-doc_id is dealt to a salt like any other. Rows that repeat a doc_id are rounded apart in the query. An empty table gives an empty result.
+Nulls and edge cases: null or wordless text has size 0 and takes 0. A null source is a source of its own. Rows are dealt to salts by doc_id and text, so
+rows without a doc_id spread like others. Rows that repeat a doc_id are rounded apart in the query. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,13 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import cut, read_table, unused
 
 LEAF, FAN, MOST_COPIES, LARGE = 4096, 32, 3, 0.01
-_FIELDS = "doc_id long, source string, size long, source_size long, target double, salt long, mass double, extra int"
+_FIELDS = "doc_id long, source string, size long, mark long, source_size long, target double, salt long, mass double, extra int"
 
 
 def with_targets(sizes: DataFrame, most: int = MOST_COPIES) -> DataFrame:
@@ -91,7 +91,7 @@ def _combine(level: int, last: bool):
     def run(table: pa.Table) -> pa.Table:
         names = table.schema.names
         source, salt = table["source"][0].as_py(), table["salt"][0].as_py()
-        table = table.sort_by([("size", "descending"), ("doc_id", "ascending")])
+        table = table.sort_by([("size", "descending"), ("doc_id", "ascending"), ("mark", "ascending")])
         sizes = table["size"].to_numpy().astype(float)
         seed = [level, salt, 0 if source is None else 1, zlib.crc32((source or "").encode())]
         rng = np.random.Generator(np.random.PCG64(seed))
@@ -108,16 +108,16 @@ def _combine(level: int, last: bool):
 
 
 def mix(docs: DataFrame, most: int = MOST_COPIES, leaf: int = LEAF, fan: int = FAN) -> DataFrame:
-    """One row per row of ``docs(doc_id, source, text)``: doc_id, size, source_size, target, taken, copies, source."""
+    """One row per row of ``docs(doc_id, source, text)``: doc_id, size, source_size, target, taken, copies, source, and a hash of the text."""
     words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
-    sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size")), "mix-sizes")
+    sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), _mark().alias("mark")), "mix-sizes")
     targets = with_targets(sizes, most)
-    known = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("doc_id", "d.source", "size", "source_size", "target")
+    known = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("doc_id", "d.source", "size", "mark", "source_size", "target")
     groups = max(1, -(-sizes.count() // leaf))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.least(F.floor(rate + 1e-12), F.lit(most))
     part = F.greatest(rate - whole, F.lit(0.0))
-    rows = known.select("*", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(groups)).alias("salt"), (part * F.col("size")).alias("mass"), F.lit(None).cast("int").alias("extra"))
+    rows = known.select("*", F.pmod(F.xxhash64("doc_id", "mark", F.lit(11)), F.lit(groups)).alias("salt"), (part * F.col("size")).alias("mass"), F.lit(None).cast("int").alias("extra"))
     done, level = [], 0
     while True:
         last = groups == 1
@@ -131,15 +131,27 @@ def mix(docs: DataFrame, most: int = MOST_COPIES, leaf: int = LEAF, fan: int = F
     for more in done[1:]:
         every = every.unionByName(more)
     copies = (whole + F.col("extra")).cast("long")
-    return every.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source")
+    return every.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source", "mark")
 
 
 def mixed(docs: DataFrame, **how: int) -> DataFrame:
-    """Rows of ``docs``, each as often as the mix takes it. Rows that repeat a doc_id share its copies evenly, rounded up."""
-    drawn = mix(docs, **how).groupBy("doc_id").agg(F.ceil(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("__copies")).filter("__copies > 0")
-    times = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")
-    return docs.join(drawn.withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))).select(*docs.columns, times).drop("__copy")
+    """Rows of ``docs``, each as often as the mix takes it. Rows that repeat both doc_id and text share their copies, the odd ones going to the first of them."""
+    own, mark, copies, rows = (unused(docs, f"__{x}") for x in ("id", "mark", "copies", "rows"))
+    drawn = mix(docs, **how).groupBy(F.col("doc_id").alias(own), F.col("mark").alias(mark)).agg(F.sum("copies").cast("int").alias(copies), F.count(F.lit(1)).cast("int").alias(rows))
+    drawn = cut(drawn.filter(F.col(copies) > 0), "mix-drawn")
+    met = docs.join(drawn, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (_mark() == F.col(mark)))
+    times = F.col(copies)
+    if not drawn.filter(F.col(rows) > 1).isEmpty():
+        place = F.row_number().over(Window.partitionBy(own, mark).orderBy(F.lit(1)))
+        met = met.withColumn(rows, F.struct(F.col(rows).alias("n"), place.alias("k")))
+        share = F.floor(F.col(copies) / F.col(rows)["n"])
+        times = (share + (F.col(rows)["k"] <= F.col(copies) - share * F.col(rows)["n"]).cast("int")).cast("int")
+    return met.select(*docs.columns, times.alias(copies)).filter(F.col(copies) > 0).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(copies)
+
+
+def _mark() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def op7_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(read_table(spark, sf_dir, "documents")).drop("copies", "source")
+    return mix(read_table(spark, sf_dir, "documents")).drop("copies", "source", "mark")

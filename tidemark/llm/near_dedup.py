@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED, Words, byte_slices, components, cut, mix, read_table, strings
+from .common import SPACED, Words, byte_slices, components, cut, frugal, give_back, mix, read_table, strings
 
 HASHES, BANDS, ROWS = 256, 40, 5
 #: Of 256 two-bit values, so many may differ: 38.4 are expected at similarity 0.8, standard deviation 5.7.
@@ -156,6 +156,8 @@ def _settle(width: int, percent: int):
         sets = [x for _, _, data, offsets in byte_slices(strings(table["text"])) for x in shingle_sets(data, offsets, width)]
         first = ids[linked(sets, percent)]
         apart = first != ids
+        if table.nbytes > 1 << 22:
+            give_back()
         return pa.table({"a": np.minimum(first, ids)[apart], "b": np.maximum(first, ids)[apart]})
 
     return run
@@ -189,7 +191,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
         raise ValueError("bands are chosen for a similarity of 0.8 or more")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = ", ".join(f"{c} long" for c in _SIG)
-    feats = cut(source.mapInArrow(_features(width), f"doc_id long, n long, f1 long, f2 long, {sig}, bands array<long>"), "near-features")
+    feats = cut(source.mapInArrow(frugal(_features(width)), f"doc_id long, n long, f1 long, f2 long, {sig}, bands array<long>"), "near-features")
     full = feats.filter("n > 0 and doc_id is not null")
     classes = cut(full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "near-classes")
     reps = full.join(classes, ["f1", "f2", "n"]).filter("doc_id = rep").dropDuplicates(["doc_id", "f1", "f2"])

@@ -11,7 +11,8 @@ text gives these two again. That is the same forward pass with validity for a sc
 Characters outside the vocabulary fall back to their bytes.
 
 Nulls and edge cases: a null text has null ids and null decoding; an empty text has no ids and decodes to the empty text. A literal
-U+2581 in a text decodes to a space, as it does in the library. Units over ``CACHED`` characters are encoded but not remembered.
+U+2581 in a text decodes to a space, as it does in the library, and such a text does not make the round trip. Input columns named
+ids, n_ids, decoded or round_trip give way to those made here. Ties do not arise: an encoding is unique. Units over ``CACHED`` characters are encoded but not remembered.
 """
 
 from __future__ import annotations
@@ -27,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_slices, read_table, strings
+from .common import byte_slices, frugal, read_table, strings, without
 
 MARK = "▁"
 LATIN = "[A-Za-z\u00c0-\u024f]"
-#: Bounds of what a Python worker remembers: characters in a unit, and units.
-CACHED, REMEMBERED = 48, 500_000
+#: Bounds of what a Python worker remembers: characters in a unit, units, and pairs of neighbours.
+CACHED, REMEMBERED, PAIRS = 32, 60_000, 200_000
 
 
 class Codec:
@@ -88,7 +89,7 @@ class Codec:
         return parts
 
     def neighbours(self, left: str, right: str) -> bool:
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         good = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return good
@@ -202,6 +203,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, unigram: bool | None
     from .language_id import vocabulary_path
 
     path = path or vocabulary_path()
+    docs = without(docs, "ids", "n_ids", "decoded", "round_trip")
     rest = [c for c in docs.columns if c != "text"]
     rows = docs.select(*rest, F.col("text").cast("string").alias("text"))
 
@@ -209,7 +211,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, unigram: bool | None
         own = codec(path, unigram)
         for batch in batches:
             texts = strings(batch.column(batch.num_columns - 1))
-            for i, j, _, _ in byte_slices(texts, 1 << 22):
+            for i, j, _, _ in byte_slices(texts, 1 << 20):
                 part = batch.slice(i, j - i)
                 plain = texts.slice(i, j - i).to_pylist()
                 ids = own.encode(plain)
@@ -218,12 +220,12 @@ def encode_decode(docs: DataFrame, path: str | None = None, unigram: bool | None
                 none = np.array([x is None for x in ids])
                 flat = pa.array(np.fromiter(chain.from_iterable(x or () for x in ids), np.int32, int(sizes.sum())))
                 ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.append(none, False))
-                same = pa.array([None if a is None else a.replace(MARK, " ") == b for a, b in zip(plain, decoded, strict=True)], pa.bool_())
+                same = pa.array([None if a is None else a == b for a, b in zip(plain, decoded, strict=True)], pa.bool_())
                 counts = pa.array(sizes.astype(np.int32), mask=none)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(ends, flat), counts, pa.array(decoded, pa.string()), same], [*rest, "ids", "n_ids", "decoded", "round_trip"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kinds}, ids array<int>, n_ids int, decoded string, round_trip boolean")
+    return rows.mapInArrow(frugal(run), f"{kinds}, ids array<int>, n_ids int, decoded string, round_trip boolean")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

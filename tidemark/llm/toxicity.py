@@ -17,7 +17,7 @@ above ``LONGEST`` characters. All rows and whole texts are scored.
 
 Nulls and edge cases: a text without evidence scores the leak alone, and so does a null, empty or wordless one. Without any labelled document all
 score 0, with labels of one kind alone all score its share. Documents labelled twice count twice in learning; a null label is not used.
-Repeated rows get equal results. Columns of ``docs`` named score, predicted or offending are refused with a ValueError.
+Repeated rows get equal results. Columns of ``docs`` named score, predicted or offending give way to those made here.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Words, byte_slices, mix, read_table, refuse, strings
+from .common import ALNUM, Words, byte_slices, frugal, mix, read_table, strings, without
 
 DOCUMENTS, LONGEST, LONGEST_SENTENCE = 8000, 20_000, 64
 #: Bytes of the beginnings, endings and inner n-grams of a word that count as its parts.
@@ -310,7 +310,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataF
     ``offending`` has the sentences to blame, as start:end in code points: of a document predicted toxic, those whose own
     probability is a tenth or more of what noisy-or makes of all.
     """
-    refuse(docs, "score", "predicted", "offending")
+    docs = without(docs, "score", "predicted", "offending")
     rest = [c for c in docs.columns if c != "text"]
     rows = docs.select(*rest, F.col("text").cast("string").alias("text"))
     names = [*rest, "score", "predicted", "offending"]
@@ -336,7 +336,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.7) -> DataF
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(out), pa.array((out >= threshold).astype(np.int32)), pa.array([x[1:] for x in where], pa.string())], names)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kinds}, score double, predicted int, offending string")
+    return rows.mapInArrow(frugal(run), f"{kinds}, score double, predicted int, offending string")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
