@@ -3,7 +3,7 @@
 A line is a stretch of a text between newlines. Equal lines collapse first, under an identifier that is verified: if two distinct lines share
 their 64-bit hash anywhere, SHA-256 identifies all. A line's signature is ``BANDS`` x ``ROWS`` independent
 minima over all its shingles of ``EXACT`` characters, the same set that verifies. Each band is a bucket key; a pair of similarity
-0.8 misses all bands with probability (1 - 0.8^4)^14 = 6e-4, one of 0.85 with 3e-5, one of 0.9 with 9e-8. There is no other filter: every
+0.8 misses all bands with probability (1 - 0.8^6)^20 = 2.3e-3, one of 0.85 with 8e-5, one of 0.9 with 3e-7. There is no other filter: every
 banded candidate that is not yet in one component with its leader is verified on the full sets of both lines, Jaccard similarity of at least
 ``LEAST_PERCENT``. Verified links run through distributed label propagation (union-find), and one line of each
 component stays: the first by (doc_id, line number).
@@ -35,7 +35,7 @@ from .common import cut as _cut
 
 cut = partial(_cut, codec="zstd", release=True)
 
-EXACT, BANDS, ROWS, LEAST_PERCENT = 5, 14, 4, 80
+EXACT, BANDS, ROWS, LEAST_PERCENT = 5, 20, 6, 80
 LEADERS = (1, 8, 64)
 #: Bytes of lines whose shingles are handled together, so that they stay in a core's cache.
 TOGETHER = 1 << 17
