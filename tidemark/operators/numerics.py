@@ -72,29 +72,38 @@ def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
 
 
 def rotated_eigen(a: np.ndarray, rotations: int) -> np.ndarray:
-    """Vectors (columns, by falling value, ties as they stand) after at most ``rotations`` plane rotations, each at the largest element above the diagonal.
+    """Of each matrix along the first axis: vectors (columns, by falling value, ties as they stand) after at most ``rotations`` plane rotations, each at the largest element above the diagonal.
 
-    That is few for a large matrix, and the result then is far from its eigenvectors; it is what the operators are defined by.
+    That is few for a large matrix, and the result then is far from its eigenvectors; it is what the operators are defined by. All
+    matrices turn together, each in a plane of its own.
     """
-    m, n = a.astype(float).copy(), len(a)
-    v = np.eye(n)
-    upper = np.triu(np.ones((n, n), bool), 1)
-    size = np.where(upper, np.abs(m), -1.0)
+    m = a.astype(float).reshape(-1, *a.shape[-2:]).copy()
+    many, n, _ = m.shape
+    v = np.repeat(np.eye(n)[None], many, axis=0)
+    place = np.arange(n)
+    size = np.where(place[:, None] < place[None, :], np.abs(m), -1.0)
     for _ in range(rotations if n > 1 else 0):
-        p, q = divmod(int(size.argmax()), n)
-        if size[p, q] < 1e-14:
+        at = size.reshape(many, -1).argmax(axis=1)
+        r = np.flatnonzero(size.reshape(many, -1)[np.arange(many), at] >= 1e-14)
+        if not len(r):
             break
-        theta = (m[q, q] - m[p, p]) / (2.0 * m[p, q])
-        t = 1.0 / (theta + np.copysign(np.hypot(1.0, theta), theta if theta else 1.0))
-        c = 1.0 / np.hypot(1.0, t)
-        turn = np.array([[c, t * c], [-t * c, c]])
-        m[:, [p, q]] = m[:, [p, q]] @ turn
-        m[[p, q]] = turn.T @ m[[p, q]]
-        m[p, q] = m[q, p] = 0.0
-        v[:, [p, q]] = v[:, [p, q]] @ turn
+        p, q = np.divmod(at[r], n)
+        theta = (m[r, q, q] - m[r, p, p]) / (2.0 * m[r, p, q])
+        t = 1.0 / (theta + np.copysign(np.hypot(1.0, theta), np.where(theta == 0, 1.0, theta)))
+        c = (1.0 / np.hypot(1.0, t))[:, None]
+        s = t[:, None] * c
+        for x in (m, v):
+            left, right = x[r, :, p], x[r, :, q]
+            x[r, :, p], x[r, :, q] = c * left - s * right, s * left + c * right
+        upper, lower = m[r, p], m[r, q]
+        m[r, p], m[r, q] = c * upper - s * lower, s * upper + c * lower
+        m[r, p, q] = m[r, q, p] = 0.0
         for k in (p, q):
-            size[k, k + 1 :], size[:k, k] = np.abs(m[k, k + 1 :]), np.abs(m[:k, k])
-    return v[:, np.argsort(-np.diag(m), kind="stable")]
+            size[r, k] = np.where(place > k[:, None], np.abs(m[r, k]), -1.0)
+            size[r, :, k] = np.where(place < k[:, None], np.abs(m[r, :, k]), -1.0)
+    order = np.argsort(-np.diagonal(m, axis1=1, axis2=2), axis=1, kind="stable")
+    v = np.take_along_axis(v, order[:, None, :], axis=2)
+    return v if a.ndim == 3 else v[0]
 
 
 @lru_cache(16)

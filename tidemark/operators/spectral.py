@@ -321,6 +321,10 @@ class MultivariateSpectralAnalysis(Spectrum):
 # ---------------------------------------------------------------- subspace methods
 
 
+#: Windows whose matrices are turned together.
+TURNED = 512
+
+
 class Subspace(Spectrum):
     """Spectra over the whole circle k / nfft from a matrix of each window, relative to their largest value."""
 
@@ -331,37 +335,44 @@ class Subspace(Spectrum):
         self.sources, self.nfft = positive("n_sources", n_sources), max(64, int(nfft))
         if self.sources >= window:
             raise ValueError("n_sources must be below window")
-        self.circle = np.arange(self.nfft) / self.nfft
+        self.circle, self.turn = np.arange(self.nfft) / self.nfft, None
 
     def size(self) -> int:
         return min(max(self.window // 2, 2 * self.sources), self.window - 1)
 
-    def vectors(self, x: np.ndarray) -> np.ndarray:
+    def matrices(self, x: np.ndarray) -> np.ndarray | None:
+        """The matrix of each window whose vectors ``one`` takes; None where it takes none."""
         p = self.size()
-        return nx.rotated_eigen(nx.toeplitz(nx.autocorrelation(x, p), p), 200)
+        return nx.toeplitz(nx.autocorrelation(x, p), p)
 
     def gains(self, filters: np.ndarray) -> np.ndarray:
         """|A(f)|^2 summed over the columns of ``filters``."""
-        turn = np.exp(-1j * TAU * np.outer(self.circle, np.arange(len(filters))))
-        return (np.abs(turn @ filters) ** 2).sum(axis=1)
+        if self.turn is None or self.turn.shape[1] != len(filters):
+            self.turn = np.exp(-1j * TAU * np.outer(self.circle, np.arange(len(filters))))
+        return (np.abs(self.turn @ filters) ** 2).sum(axis=1)
 
     def near_poles(self, poles: np.ndarray) -> np.ndarray:
         away = np.exp(1j * TAU * self.circle)[:, None] - poles[None, :]
         return (1.0 / np.maximum(np.abs(away) ** 2, 1e-30)).sum(axis=1)
 
-    def one(self, x: np.ndarray) -> np.ndarray | None:
+    def one(self, x: np.ndarray, v: np.ndarray | None) -> np.ndarray | None:
+        """The spectrum of a window, given the vectors of its matrix."""
         raise NotImplementedError
 
     def compute(self, own: Any, x: np.ndarray) -> list[dict | None]:
-        every = [self.one(v) for v in x]
+        every: list[np.ndarray | None] = []
+        for k in range(0, len(x), TURNED):  # the matrices of so many windows are turned together
+            some = x[k : k + TURNED]
+            m = self.matrices(some)
+            every += map(self.one, some, [None] * len(some) if m is None else nx.rotated_eigen(m, 200))
         got = [p for p in every if p is not None]
         done = iter(records(self.circle, relative(np.stack(got)))) if got else iter(())
         return [None if p is None else next(done) for p in every]
 
 
 class MusicSpectrum(Subspace):
-    def one(self, x: np.ndarray) -> np.ndarray | None:
-        noise = self.vectors(x)[:, self.sources :]
+    def one(self, x: np.ndarray, v: np.ndarray) -> np.ndarray | None:
+        noise = v[:, self.sources :]
         if not noise.shape[1]:
             return None
         g = self.gains(noise)
@@ -372,16 +383,16 @@ class PisarenkoSpectrum(Subspace):
     def size(self) -> int:
         return min(max(self.sources + 1, 2), self.window - 1)
 
-    def one(self, x: np.ndarray) -> np.ndarray:
-        return 1.0 / np.maximum(self.gains(self.vectors(x)[:, -1:]), 1e-30)
+    def one(self, x: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return 1.0 / np.maximum(self.gains(v[:, -1:]), 1e-30)
 
 
 class MinimumNormSpectrum(Subspace):
     def size(self) -> int:
         return min(max(2 * self.sources, 2), self.window - 1)
 
-    def one(self, x: np.ndarray) -> np.ndarray | None:
-        noise = self.vectors(x)[:, self.sources :]
+    def one(self, x: np.ndarray, v: np.ndarray) -> np.ndarray | None:
+        noise = v[:, self.sources :]
         first = noise @ noise[0] if noise.shape[1] else np.zeros(1)
         if abs(first[0]) < 1e-30:
             return None
@@ -408,8 +419,8 @@ def small_eigenvalues(m: np.ndarray) -> np.ndarray:
 
 
 class EspritSpectrum(Subspace):
-    def one(self, x: np.ndarray) -> np.ndarray | None:
-        v = self.vectors(x)[:, : self.sources]
+    def one(self, x: np.ndarray, v: np.ndarray) -> np.ndarray | None:
+        v = v[:, : self.sources]
         if len(v) < 2:
             return None
         phi = nx.solve(v[:-1].T @ v[:-1], v[:-1].T @ v[1:])
@@ -417,14 +428,21 @@ class EspritSpectrum(Subspace):
 
 
 class MatrixPencilSpectrum(Subspace):
-    def one(self, x: np.ndarray) -> np.ndarray | None:
+    def matrices(self, x: np.ndarray) -> np.ndarray | None:
+        l = self.window // 2
+        if not l:
+            return None
+        a = np.lib.stride_tricks.sliding_window_view(x, l, axis=1)[:, : self.window - l]
+        return a.transpose(0, 2, 1) @ a
+
+    def one(self, x: np.ndarray, v: np.ndarray | None) -> np.ndarray | None:
         l = self.window // 2
         rows = self.window - l
-        if not l or not rows:
+        if v is None or not rows:
             return None
         runs = np.lib.stride_tricks.sliding_window_view(x, l)
         a, b = runs[:rows], runs[1 : rows + 1]
-        v = nx.rotated_eigen(a.T @ a, 200)[:, : min(self.sources, l)]
+        v = v[:, : min(self.sources, l)]
         phi = nx.solve(v.T @ a.T @ a @ v, v.T @ a.T @ b @ v)
         return None if phi is None else self.near_poles(small_eigenvalues(phi))
 
@@ -433,9 +451,10 @@ class EigenvectorFrequencyEstimator(Subspace):
     def __init__(self, window: int = 64, order: int = 4, nfft: int = 128, update_every: int = 16):
         super().__init__(window, order, nfft, update_every)
 
-    def one(self, x: np.ndarray) -> np.ndarray:
-        p = self.sources + 1
-        v = nx.rotated_eigen(nx.toeplitz(nx.autocorrelation(x, p), p), 200)
+    def size(self) -> int:
+        return self.sources + 1
+
+    def one(self, x: np.ndarray, v: np.ndarray) -> np.ndarray:
         return 1.0 / np.maximum(self.gains(v[:, -1:]), 1e-30)
 
 
@@ -443,7 +462,10 @@ class CaponSpectrum(Subspace):
     def __init__(self, window: int = 64, ar_order: int = 16, nfft: int = 128, update_every: int = 16):
         super().__init__(window, ar_order, nfft, update_every)
 
-    def one(self, x: np.ndarray) -> np.ndarray | None:
+    def matrices(self, x: np.ndarray) -> None:
+        return None
+
+    def one(self, x: np.ndarray, v: None) -> np.ndarray | None:
         p = self.sources
         inverse = nx.solve(nx.toeplitz(nx.autocorrelation(x, p), p), np.eye(p))
         if inverse is None:
@@ -456,7 +478,10 @@ class CaponSpectrum(Subspace):
 class PronySpectrum(Subspace):
     """Response of the Yule-Walker autoregression."""
 
-    def one(self, x: np.ndarray) -> np.ndarray | None:
+    def matrices(self, x: np.ndarray) -> None:
+        return None
+
+    def one(self, x: np.ndarray, v: None) -> np.ndarray | None:
         p = self.sources
         acf = nx.autocorrelation(x, p)
         a = nx.solve(nx.toeplitz(acf, p), -acf[1:])
