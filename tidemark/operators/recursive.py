@@ -50,8 +50,8 @@ class Garch(Loop):
     """Variance from the previous return and variance; parameters are given, never fitted."""
 
     def __init__(self, omega: float = 1e-6, alpha: float = 0.09, beta: float = 0.90):
-        if omega <= 0 or alpha < 0 or beta < 0:
-            raise ValueError("omega must be positive, alpha and beta not negative")
+        if omega < 0 or alpha < 0 or beta < 0:
+            raise ValueError("omega, alpha and beta must not be negative")
         self.omega, self.alpha, self.beta = omega, alpha, beta
 
     def start(self) -> list:

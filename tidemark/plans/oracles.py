@@ -20,6 +20,11 @@ daily AS (SELECT o_orderpriority AS series, o_orderdate AS day, avg(o_totalprice
 whole AS (SELECT o_orderdate AS day, avg(o_totalprice) AS m FROM orders GROUP BY 1),
 moved AS (SELECT series, day, p / lag(p) OVER o - 1.0::DOUBLE AS asset, m / lag(m) OVER o - 1.0::DOUBLE AS market FROM daily JOIN whole USING (day) WINDOW o AS (PARTITION BY series ORDER BY day)),
 b AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY day) AS seq, asset, market, 0.001::DOUBLE AS rf FROM moved WHERE asset IS NOT NULL)"""
+VECTORS = BARS + """,
+kind AS (SELECT * FROM (VALUES (1, 'click'), (2, 'error'), (3, 'purchase'), (4, 'signup'), (5, 'view')) t(k, series)),
+hours AS (SELECT hour, row_number() OVER (ORDER BY hour) AS seq FROM (SELECT DISTINCT hour FROM hourly)),
+cell AS (SELECT hours.seq, CAST(k AS BIGINT) AS k, coalesce(b.ret, 0.0::DOUBLE) AS ret, k / 15.0::DOUBLE AS weight
+         FROM hours CROSS JOIN kind LEFT JOIN b ON b.hour = hours.hour AND b.series = kind.series)"""
 BASES = {"bars": BARS, "ticks": TICKS, "pairs": PAIRS}
 
 
@@ -71,6 +76,16 @@ r AS (SELECT b.series, b.seq, {start} FROM b WHERE seq = 1
 SELECT series, seq, {made} FROM r"""
 
 
+def framed(value: str) -> str:
+    """``value`` of v, the last 64 ticks, and d, those less their mean, at every sixteenth; null between."""
+    return f"""WITH {TICKS},
+due AS (SELECT series, seq AS tick FROM b WHERE {cadence(64, 16)}),
+win AS (SELECT due.series, tick, list(x ORDER BY seq) AS v FROM due JOIN b ON b.series = due.series AND b.seq BETWEEN tick - 63 AND tick GROUP BY ALL),
+dev AS (SELECT *, list_transform(v, lambda q: q - list_avg(v)) AS d FROM win),
+got AS (SELECT series, tick, {value} AS made FROM dev)
+SELECT b.series, b.seq, {rounded("made")} AS value FROM b LEFT JOIN got ON got.series = b.series AND got.tick = b.seq"""
+
+
 def cadence(window: int, every: int) -> str:
     first = window + every - 1
     return f"seq >= {first} AND (seq - {first}) % {every} = 0"
@@ -280,6 +295,40 @@ SELECT series, tick AS seq, CAST(u.bin AS BIGINT) AS bin, {rounded("u.d")} AS po
   (SELECT series, tick, unnest([{{'bin': 0, 'd': (v[8] - v[7]) / 2}}, {{'bin': 1, 'd': ((v[8] + v[7]) / 2 - (v[6] + v[5]) / 2) / 2}}]) AS u FROM win)"""
     out["multiresolution_analysis"] = out["modwt"]
 
+    # frames of the last 64 ticks, each 16
+    out["realized_kernel"] = framed("greatest(0, list_sum(list_transform(range(0, 11), lambda h: CASE WHEN h = 0 THEN 1.0::DOUBLE WHEN h / 11.0::DOUBLE <= 0.5 THEN 2 - 12 * (h / 11.0::DOUBLE) ** 2 + 12 * (h / 11.0::DOUBLE) ** 3 ELSE 4 * (1 - h / 11.0::DOUBLE) ** 3 END * list_sum(list_transform(range(1, 65 - h), lambda i: d[i] * d[i + h])) / 64))) * 252")
+    moves = "list_transform(range(1, 60), lambda i: (v[i + 5] - v[i]) ** 2)"
+    out["two_scale_realized_variance"] = framed(f"greatest(0, list_sum({moves}) / 5 - list_avg(list_transform(range(1, 60, 5), lambda i: (v[i + 5] - v[i]) ** 2)) * 64 / 5) * 252")
+    rising = "exp(-0.05::DOUBLE * (1 - i / 64.0::DOUBLE))"
+    out["spectral_risk_measure"] = framed(f"list_sum(list_transform(range(1, 65), lambda i: abs(list_sort(v)[i]) * {rising})) / list_sum(list_transform(range(1, 65), lambda i: {rising}))")
+
+    # all event types at an hour
+    whole = f"WITH {VECTORS},\ndot AS (SELECT 'all' AS series, seq, sum(ret * weight) AS value FROM cell GROUP BY seq)\nSELECT series, seq, {rounded('value')} AS value"
+    out["portfolio_duration"] = whole + " FROM dot"
+    out["portfolio_returns"] = whole + f", {rounded('sum(value) OVER u')} AS cumulative, {rounded('avg(value) OVER u')} AS mean FROM dot WINDOW u AS (ORDER BY seq ROWS UNBOUNDED PRECEDING)"
+    out["ewma_covariance_matrix"] = f"""WITH RECURSIVE {VECTORS},
+outer_ AS (SELECT a.seq, (a.k - 1) * 5 + b.k - 1 AS bin, a.ret * b.ret AS p FROM cell a JOIN cell b USING (seq)),
+r AS (SELECT seq, bin, p AS c FROM outer_ WHERE seq = 1
+      UNION ALL SELECT o.seq, o.bin, (1 - 0.94::DOUBLE) * r.c + 0.94::DOUBLE * o.p FROM r JOIN outer_ o ON o.bin = r.bin AND o.seq = r.seq + 1)
+SELECT 'all' AS series, seq, bin, {rounded('c')} AS power FROM r"""
+
+    # wealth against its peak, and a loop with a phase
+    grown = "(r.w * (1 + b.ret))"
+    wealth = recursion("bars", {"w": "1 + b.ret", "top": "1 + b.ret"}, {"w": grown, "top": f"greatest(r.top, {grown})"}, {}).split("\nSELECT")[0]
+    out["conditional_drawdown_at_risk"] = f"""{wealth},
+f AS (SELECT series, seq, CASE WHEN top > 0 THEN (top - w) / top ELSE 0 END AS down FROM r),
+g AS (SELECT series, seq, list(down) OVER w AS recent, quantile_cont(down, 0.9) OVER w AS edge, max(down) OVER u AS most FROM f
+      WINDOW w AS (PARTITION BY series ORDER BY seq ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), u AS (PARTITION BY series ORDER BY seq ROWS UNBOUNDED PRECEDING))
+SELECT series, seq, {rounded("list_avg(list_filter(recent, lambda q: q >= edge))")} AS cdar, {rounded("most")} AS max_drawdown FROM g"""
+    err = "(-b.ret * sin(r.ph))"
+    freq = f"least(0.5::DOUBLE, greatest(-0.5::DOUBLE, r.fr + 0.2::DOUBLE * {err} + (r.sm + 0.01::DOUBLE * {err})))"
+    turned = f"(r.ph + 2 * pi() * {freq})"
+    out["phase_locked_loop"] = recursion(
+        "bars", {"ph": "2 * pi() * 0.1::DOUBLE", "fr": "0.1::DOUBLE", "sm": zero, "calm": "1", "i": "1.0::DOUBLE", "q": zero},
+        {"ph": f"CASE WHEN abs({turned}) > pi() THEN {turned} - 2 * pi() * sign({turned}) ELSE {turned} END", "fr": freq, "sm": f"r.sm + 0.01::DOUBLE * {err}", "calm": f"CASE WHEN abs({err}) < 0.1 THEN r.calm + 1 ELSE 0 END", "i": "cos(r.ph)", "q": "sin(r.ph)"},
+        {"frequency": "fr", "in_phase": "i", "quadrature": "q", "locked": "calm > 50"}, ("locked",),
+    )
+
     # single rows
     d1 = "((ln(spot / strike) + (rate + sigma ** 2 / 2) * ttm) / (sigma * sqrt(ttm)))"
     out["bs_price"] = f"""WITH {TICKS},
