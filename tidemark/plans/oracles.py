@@ -5,6 +5,8 @@ Window operators use the same ROWS frames; recursions are recursive CTEs; spectr
 
 from __future__ import annotations
 
+import re
+
 from ..functions.normal import cdf_sql, probit
 from ..operators.rolling import savgol_weights
 
@@ -34,17 +36,17 @@ def rounded(x: str) -> str:
 
 
 #: Places of queries other than six: long sums agree in fewer digits, and early slopes of two-digit prices have exact ties at six.
-PLACES = {"glosten_milgrom": 9} | dict.fromkeys(
+PLACES = {"glosten_milgrom": 9, "wavelet_variance": 8} | dict.fromkeys(
     (
         "periodogram", "fft_spectral_density", "welch_psd", "bartlett_method", "short_time_fourier_transform", "daniell_periodogram", "parzen_periodogram", "chirp_z_transform",
-        "cross_spectrum", "coherence", "goertzel", "page_hinkley", "higher_order_cumulants", "wiener_filter",
+        "cross_spectrum", "coherence", "goertzel", "page_hinkley", "higher_order_cumulants", "wiener_filter", "wigner_ville_distribution",
     ), 4,
 )
 
 
 def placed(sql: str, places: int) -> str:
     """``sql`` with its rounding to six places (four from a thousand on) made one to ``places`` (two fewer), as the engine rounds."""
-    return sql.replace("round(v, 4)", f"round(v, {places - 2})").replace("round(v, 6)", f"round(v, {places})")
+    return re.sub(r"round\(v, ([46])\)", lambda m: f"round(v, {int(m[1]) + places - 6})", sql)
 
 
 def windowed(base: str, period: int, columns: dict[str, str], first: int | None = None, stages: str = "", source: str = "b", where: str | None = None, raw: tuple[str, ...] = ()) -> str:
@@ -76,11 +78,24 @@ r AS (SELECT b.series, b.seq, {start} FROM b WHERE seq = 1
 SELECT series, seq, {made} FROM r"""
 
 
+def frames(window: int = 64, every: int = 16) -> str:
+    """win(series, tick, v): the last ``window`` ticks at each due one."""
+    return f"""WITH {TICKS},
+due AS (SELECT series, seq AS tick FROM b WHERE {cadence(window, every)}),
+win AS (SELECT due.series, tick, list(x ORDER BY seq) AS v FROM due JOIN b ON b.series = due.series AND b.seq BETWEEN tick - {window - 1} AND tick GROUP BY ALL)"""
+
+
+def listed(made: str, source: str = "win") -> str:
+    """The elements of the list ``made`` as rows (series, seq, bin, power)."""
+    return f""",
+got AS (SELECT series, tick, {made} AS p FROM {source}),
+told AS (SELECT series, tick, p, unnest(range(0, len(p))) AS bin FROM got)
+SELECT series, tick AS seq, CAST(bin AS BIGINT) AS bin, {rounded("p[bin + 1]")} AS power FROM told"""
+
+
 def framed(value: str) -> str:
     """``value`` of v, the last 64 ticks, and d, those less their mean, at every sixteenth; null between."""
-    return f"""WITH {TICKS},
-due AS (SELECT series, seq AS tick FROM b WHERE {cadence(64, 16)}),
-win AS (SELECT due.series, tick, list(x ORDER BY seq) AS v FROM due JOIN b ON b.series = due.series AND b.seq BETWEEN tick - 63 AND tick GROUP BY ALL),
+    return f"""{frames()},
 dev AS (SELECT *, list_transform(v, lambda q: q - list_avg(v)) AS d FROM win),
 got AS (SELECT series, tick, {value} AS made FROM dev)
 SELECT b.series, b.seq, {rounded("made")} AS value FROM b LEFT JOIN got ON got.series = b.series AND got.tick = b.seq"""
@@ -302,6 +317,36 @@ SELECT series, tick AS seq, CAST(u.bin AS BIGINT) AS bin, {rounded("u.d")} AS po
     rising = "exp(-0.05::DOUBLE * (1 - i / 64.0::DOUBLE))"
     out["spectral_risk_measure"] = framed(f"list_sum(list_transform(range(1, 65), lambda i: abs(list_sort(v)[i]) * {rising})) / list_sum(list_transform(range(1, 65), lambda i: {rising}))")
 
+    half = lambda x, sign: f"list_transform(range(1, len({x}) // 2 + 1), lambda i: ({x}[2 * i - 1] {sign} {x}[2 * i]) / sqrt(2.0::DOUBLE))"
+    tree, level = "", "win"
+    for j in range(6):
+        low = f"s{j}" if j else "v"
+        tree += f",\nl{j + 1} AS (SELECT *, {half(low, '+')} AS s{j + 1}, {half(low, '-')} AS d{j + 1} FROM {level})"
+        level = f"l{j + 1}"
+    out["discrete_wavelet_transform"] = frames() + tree + listed("flatten([s6, d6, d5, d4, d3, d2, d1])", "l6")
+    node = lambda x: f"{half(x, '+')}, {half(x, '-')}"
+    out["wavelet_packet"] = frames() + f",\nl1 AS (SELECT *, {half('v', '+')} AS s1, {half('v', '-')} AS d1 FROM win)" + listed(f"flatten([{node('s1')}, {node('d1')}])", "l1")
+    back, level = "", "win"
+    for j in range(3):
+        low, other = (f"s{j}" if j else "v"), f"[(i + 63 - {1 << j}) % 64 + 1]"
+        back += f",\nl{j + 1} AS (SELECT *, list_transform(range(1, 65), lambda i: ({low}[i] + {low}{other}) / 2) AS s{j + 1}, list_transform(range(1, 65), lambda i: ({low}[i] - {low}{other}) / 2) AS d{j + 1} FROM {level})"
+        level = f"l{j + 1}"
+    out["wavelet_variance"] = frames() + back + listed("[list_var_pop(d1), list_var_pop(d2), list_var_pop(d3)]", "l3")
+    tau = "((i - 63) / {s}.0::DOUBLE)"
+    part = lambda s, trig: f"list_sum(list_transform(range(0, 64), lambda i: v[i + 1] * exp(-0.5::DOUBLE * {tau.format(s=s)} ** 2) * {trig}(6 * {tau.format(s=s)})))"
+    out["cwt_morlet"] = frames() + listed("[" + ", ".join(f"sqrt({part(s, 'cos')} ** 2 + {part(s, 'sin')} ** 2) * pi() ** (-0.25::DOUBLE) / sqrt({s}.0::DOUBLE)" for s in (2, 4, 8, 16)) + "]")
+    turn = lambda trig: f"list_sum(list_transform(range(0, 64), lambda i: v[33 + i // 2] * v[33 - i // 2] * {trig}(pi() * i * k / 64)))"
+    out["wigner_ville_distribution"] = frames() + listed(f"list_transform(range(0, 33), lambda k: sqrt({turn('cos')} ** 2 + {turn('sin')} ** 2) / 64)")
+    # the analytic signal in closed form: rows an odd number away weigh by a cotangent
+    away = lambda t: f"list_sum(list_transform(range(0, 128), lambda i: CASE WHEN ({t} - i) % 2 = 0 THEN 0.0::DOUBLE ELSE v[i + 1] / tan(pi() * ({t} - i) / 128) / 64 END))"
+    analytic = frames(128, 64) + f""",
+z AS (SELECT *, v[65] AS re, {away(64)} AS im, atan2({away(64)}, v[65]) AS a, atan2({away(63)}, v[64]) AS before FROM win),
+got AS (SELECT series, tick, sqrt(re * re + im * im) AS amplitude, a AS phase, (CASE WHEN a - before > pi() THEN a - before - 2 * pi() WHEN a - before < -pi() THEN a - before + 2 * pi() ELSE a - before END) / (2 * pi()) AS frequency FROM z)
+SELECT b.series, b.seq"""
+    there = " FROM b LEFT JOIN got ON got.series = b.series AND got.tick = b.seq"
+    out["hilbert_transform"] = analytic + "".join(f", {rounded(c)} AS {c}" for c in ("amplitude", "phase", "frequency")) + there
+    out["instantaneous_frequency"] = analytic + f", {rounded('frequency')} AS value" + there
+
     # all event types at an hour
     whole = f"WITH {VECTORS},\ndot AS (SELECT 'all' AS series, seq, sum(ret * weight) AS value FROM cell GROUP BY seq)\nSELECT series, seq, {rounded('value')} AS value"
     out["portfolio_duration"] = whole + " FROM dot"
