@@ -36,10 +36,10 @@ def rounded(x: str) -> str:
 
 
 #: Places of queries other than six: long sums agree in fewer digits, and early slopes of two-digit prices have exact ties at six.
-PLACES = {"glosten_milgrom": 9, "wavelet_variance": 8} | dict.fromkeys(
+PLACES = {"glosten_milgrom": 9} | dict.fromkeys(
     (
         "periodogram", "fft_spectral_density", "welch_psd", "bartlett_method", "short_time_fourier_transform", "daniell_periodogram", "parzen_periodogram", "chirp_z_transform",
-        "cross_spectrum", "coherence", "goertzel", "page_hinkley", "higher_order_cumulants", "wiener_filter", "wigner_ville_distribution",
+        "cross_spectrum", "coherence", "goertzel", "page_hinkley", "higher_order_cumulants", "wiener_filter", "wigner_ville_distribution", "wavelet_variance",
     ), 4,
 )
 
