@@ -35,11 +35,11 @@ def rounded(x: str) -> str:
     return f"list_transform([{x}], lambda v: CASE WHEN v IS NULL THEN NULL WHEN isnan(v) THEN v WHEN abs(v) < 1e3 THEN round(v, 6) WHEN abs(v) < 1e7 THEN round(v, 4) ELSE round(v / 1e6, 3) END + 0.0::DOUBLE)[1]"
 
 
-#: Places of queries other than six: long sums agree in fewer digits, and early slopes of two-digit prices have exact ties at six.
-PLACES = {"glosten_milgrom": 9} | dict.fromkeys(
+#: Places of queries other than six: long sums agree in fewer digits, and slopes and variances of two-digit prices have exact ties at six.
+PLACES = {"glosten_milgrom": 9, "wavelet_variance": 3} | dict.fromkeys(
     (
         "periodogram", "fft_spectral_density", "welch_psd", "bartlett_method", "short_time_fourier_transform", "daniell_periodogram", "parzen_periodogram", "chirp_z_transform",
-        "cross_spectrum", "coherence", "goertzel", "page_hinkley", "higher_order_cumulants", "wiener_filter", "wigner_ville_distribution", "wavelet_variance",
+        "cross_spectrum", "coherence", "goertzel", "page_hinkley", "higher_order_cumulants", "wiener_filter", "wigner_ville_distribution",
     ), 4,
 )
 
