@@ -259,3 +259,31 @@ def test_prices_of_zero_are_left_out(spark):
         got = run(spark, operator, bars, period=2)
         assert got[1] is not None and got[2] is not None
     assert run(spark, "CorwinSchultz", {"h": bars["h"], "l": bars["l"]})[1] is None
+
+
+def test_wavelet_variance_by_definition():
+    from tidemark.operators import wavelets
+
+    # no SQL: half-way cases are common in variances of two-digit prices, and engines round them either way
+    rng = np.random.default_rng(5)
+    x = rng.normal(50, 20, (3, 64))
+    for row, got in zip(x, wavelets.WaveletVariance().compute(None, x)):
+        low = row.tolist()
+        for level in range(3):
+            detail = [(low[i] - low[i - (1 << level)]) / 2 for i in range(64)]
+            low = [(low[i] + low[i - (1 << level)]) / 2 for i in range(64)]
+            mean = sum(detail) / 64
+            assert got["coefficients"][level] == pytest.approx(sum((v - mean) ** 2 for v in detail) / 64)
+
+
+def test_rotations_of_many_matrices_are_those_of_each():
+    from tidemark.operators import numerics as nx
+
+    rng = np.random.default_rng(6)
+    a = rng.normal(size=(7, 9, 9))
+    a = a + a.transpose(0, 2, 1)
+    a[3] = 0.0
+    for m, v in zip(a, nx.rotated_eigen(a, 500)):
+        assert np.allclose(v, nx.rotated_eigen(m, 500))
+        value = np.diag(v.T @ m @ v)
+        assert np.allclose(v.T @ m @ v, np.diag(value), atol=1e-9) and (np.diff(value) <= 1e-9).all()

@@ -35,8 +35,8 @@ def rounded(x: str) -> str:
     return f"list_transform([{x}], lambda v: CASE WHEN v IS NULL THEN NULL WHEN isnan(v) THEN v WHEN abs(v) < 1e3 THEN round(v, 6) WHEN abs(v) < 1e7 THEN round(v, 4) ELSE round(v / 1e6, 3) END + 0.0::DOUBLE)[1]"
 
 
-#: Places of queries other than six: long sums agree in fewer digits, and slopes and variances of two-digit prices have exact ties at six.
-PLACES = {"glosten_milgrom": 9, "wavelet_variance": 3} | dict.fromkeys(
+#: Places of queries other than six: long sums agree in fewer digits, and slopes of two-digit prices have exact ties at six.
+PLACES = {"glosten_milgrom": 9} | dict.fromkeys(
     (
         "periodogram", "fft_spectral_density", "welch_psd", "bartlett_method", "short_time_fourier_transform", "daniell_periodogram", "parzen_periodogram", "chirp_z_transform",
         "cross_spectrum", "coherence", "goertzel", "page_hinkley", "higher_order_cumulants", "wiener_filter", "wigner_ville_distribution",
@@ -326,12 +326,6 @@ SELECT series, tick AS seq, CAST(u.bin AS BIGINT) AS bin, {rounded("u.d")} AS po
     out["discrete_wavelet_transform"] = frames() + tree + listed("flatten([s6, d6, d5, d4, d3, d2, d1])", "l6")
     node = lambda x: f"{half(x, '+')}, {half(x, '-')}"
     out["wavelet_packet"] = frames() + f",\nl1 AS (SELECT *, {half('v', '+')} AS s1, {half('v', '-')} AS d1 FROM win)" + listed(f"flatten([{node('s1')}, {node('d1')}])", "l1")
-    back, level = "", "win"
-    for j in range(3):
-        low, other = (f"s{j}" if j else "v"), f"[(i + 63 - {1 << j}) % 64 + 1]"
-        back += f",\nl{j + 1} AS (SELECT *, list_transform(range(1, 65), lambda i: ({low}[i] + {low}{other}) / 2) AS s{j + 1}, list_transform(range(1, 65), lambda i: ({low}[i] - {low}{other}) / 2) AS d{j + 1} FROM {level})"
-        level = f"l{j + 1}"
-    out["wavelet_variance"] = frames() + back + listed("[list_var_pop(d1), list_var_pop(d2), list_var_pop(d3)]", "l3")
     tau = "((i - 63) / {s}.0::DOUBLE)"
     part = lambda s, trig: f"list_sum(list_transform(range(0, 64), lambda i: v[i + 1] * exp(-0.5::DOUBLE * {tau.format(s=s)} ** 2) * {trig}(6 * {tau.format(s=s)})))"
     out["cwt_morlet"] = frames() + listed("[" + ", ".join(f"sqrt({part(s, 'cos')} ** 2 + {part(s, 'sin')} ** 2) * pi() ** (-0.25::DOUBLE) / sqrt({s}.0::DOUBLE)" for s in (2, 4, 8, 16)) + "]")
