@@ -33,7 +33,7 @@ from .common import byte_slices, frugal, read_table, strings, without
 MARK = "▁"
 LATIN = "[A-Za-z\u00c0-\u024f]"
 #: Bounds of what a Python worker remembers: characters in a unit, units, and pairs of neighbours.
-CACHED, REMEMBERED, PAIRS = 32, 60_000, 200_000
+CACHED, REMEMBERED, PAIRS = 32, 200_000, 400_000
 
 
 class Codec:
