@@ -642,3 +642,9 @@ def test_lines_whose_hash_meets(spark, monkeypatch):
     rows = [(1, "one line of some length here"), (2, "one line of some length Here"), (3, "quite another, of words its own"), (4, "one line of some length here")]
     got = {r.doc_id: (r.first_doc, r.copies) for r in line_dedup.fuzzy_lines(docs_of(spark, rows)).collect()}
     assert got == {1: (1, 2), 2: (2, 1), 3: (3, 1), 4: (1, 2)}
+
+
+def test_toxicity_where_no_part_tells():
+    texts = [f"word{i} other{i}" for i in range(60)]
+    model = toxicity.learn(texts, np.arange(60) % 7 == 0)
+    assert not len(model.parts) and 0 <= model.leak <= 1

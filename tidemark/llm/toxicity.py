@@ -245,7 +245,7 @@ class Sample:
         alive = np.ones(size, bool)
         for turn in range(rounds):
             if turn == rounds // 2:  # only parts of clear evidence go on, unshrunk
-                alive, shrink, seen = w > 0.05 * max(w.max(), 1e-9), 0.0, np.full(size, 1e-8)
+                alive, shrink, seen = w > 0.05 * max(w.max(initial=0.0), 1e-9), 0.0, np.full(size, 1e-8)
                 w = np.where(alive, w, 0.0)
             # the bias sinks to its place over the first half, else no sentence would ever be blamed
             bias = BIAS + (-3.0 - BIAS) * max(0.0, 1 - 2 * turn / rounds)
