@@ -648,3 +648,28 @@ def test_toxicity_where_no_part_tells():
     texts = [f"word{i} other{i}" for i in range(60)]
     model = toxicity.learn(texts, np.arange(60) % 7 == 0)
     assert not len(model.parts) and 0 <= model.leak <= 1
+
+
+def test_lines_of_one_bucket_that_are_not_alike(spark, monkeypatch):
+    # copies of one line with 6 to 12 letters changed: most pairs share a band, few are similar; no table may hold them all
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400))
+    texts = []
+    for _ in range(200):
+        line = list(base)
+        for k in rng.sample(range(400), rng.randrange(6, 13)):
+            line[k] = rng.choice("ABCDEFGH")
+        texts.append("".join(line))
+    written, cut = [], line_dedup.cut
+
+    def counted(df, label, **more):
+        table = cut(df, label, **more)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(line_dedup, "cut", counted)
+    monkeypatch.setattr(line_dedup, "BLOCK_LINES", 40, raising=False)
+    got = {r.doc_id: r.first_doc for r in line_dedup.fuzzy_lines(docs_of(spark, list(enumerate(texts)))).collect()}
+    comp = brute_components({i: {t[k : k + 5] for k in range(396)} for i, t in enumerate(texts)}, 80)
+    assert got == {i: comp[i] for i in range(200)}
+    assert max(written) <= line_dedup.BANDS * len(texts)

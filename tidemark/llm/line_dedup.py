@@ -8,8 +8,9 @@ banded candidate that is not yet in one component with its leader is verified on
 ``LEAST_PERCENT``. Verified links run through distributed label propagation (union-find), and one line of each
 component stays: the first by (doc_id, line number).
 
-In a bucket every line is compared with leaders, not with every other line: of lines not yet in one component the one
-with the smallest identifier leads, then more of them, until each bucket is settled (compare ``near_dedup``).
+In a bucket every line is first compared with its leader, the one with the smallest identifier; those of a bucket that are not in one
+component after that are compared with each other, all with all, in blocks of lines: a row holds two blocks, not two lines, and the
+similarities of many pairs come of one product of their blocks' incidence matrices. Nothing is capped.
 
 Signatures and verification are vectorised functions over Arrow batches; built-in functions made a string of every shingle, and took
 several times the time the operator may take (figures in the README). All else is DataFrame operations.
@@ -36,9 +37,10 @@ from .common import cut as _cut
 cut = partial(_cut, codec="zstd", release=True)
 
 EXACT, BANDS, ROWS, LEAST_PERCENT = 5, 20, 6, 80
-LEADERS = (1, 8, 64)
 #: Bytes of lines whose shingles are handled together, so that they stay in a core's cache.
 TOGETHER = 1 << 17
+#: Lines and bytes of a block (or one longer line); pairs of two blocks up to which each is verified alone; columns of a matrix at a time.
+BLOCK_LINES, BLOCK_BYTES, FEW, COLUMNS = 256, 1 << 19, 16, 4096
 
 _rng = np.random.Generator(np.random.PCG64(8))
 _XOR = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -81,37 +83,104 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar(hashes: np.ndarray, first: np.ndarray, percent: int) -> np.ndarray:
-    """Whether lines 2k and 2k + 1 are similar, for each k, by their sets of shingles."""
+    """Whether lines 2k and 2k + 1 are similar, for each k, by their sets of shingles.
+
+    One sort of pair, hash and side in a word; the pairs handled together leave the hash no fewer than 44 bits, and 62 where there is one pair.
+    """
     pairs = (len(first) - 1) // 2
-    line = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    # each shingle once a line, then those of a pair side by side
-    order = np.lexsort((hashes, line))
-    line, hashes = line[order], hashes[order]
-    once = np.ones(len(line), bool)
-    once[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
-    line, hashes = line[once], hashes[once]
-    order = np.lexsort((hashes, line >> 1))
-    pair, hashes = line[order] >> 1, hashes[order]
-    both = np.bincount(pair[1:][(pair[1:] == pair[:-1]) & (hashes[1:] == hashes[:-1])], minlength=pairs)
+    bits = max(1, (pairs - 1).bit_length())
+    low, top = np.uint64(1), np.uint64(64 - bits)
+    line = np.arange(2 * pairs, dtype=np.uint64)
+    word = np.repeat((line >> low) << top | line & low, np.diff(first)) | (hashes >> np.uint64(bits + 1)) << low
+    word.sort()
+    once = np.ones(len(word), bool)
+    once[1:] = word[1:] != word[:-1]
+    word = word[once]
+    pair = (word >> top).astype(np.int64)
+    both = np.bincount(pair[1:][(word[1:] ^ word[:-1]) == low], minlength=pairs)
     return 100 * both >= percent * (np.bincount(pair, minlength=pairs) - both)
 
 
+def alike(lines: pa.Array, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether lines a[k] and b[k] are similar, for each k."""
+    n, good, k = len(a), np.zeros(len(a), bool), 0
+    size = pa.compute.binary_length(lines).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size[a].astype(np.int64) + size[b])
+    while k < n:  # runs of whole pairs
+        j = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + 4 * TOGETHER, "right")))
+        (_, _, data, offsets), = byte_slices(lines.take(pa.array(np.stack([a[k:j], b[k:j]], axis=1).ravel())), 1 << 62)
+        good[k:j] = similar(*shingles(data, offsets), percent)
+        k = j
+    return good
+
+
+def all_alike(lines: pa.Array, n: int, percent: int) -> np.ndarray:
+    """Whether lines i < n and n + j are similar, for each i and j; where there is no line from n on, lines i and j."""
+    (_, _, data, offsets), = byte_slices(lines, 1 << 62)
+    hashes, first = shingles(data, offsets)
+    m = len(lines)
+    kinds, code = np.unique(hashes, return_inverse=True)
+    of = np.unique(code * m + np.repeat(np.arange(m), np.diff(first)))  # each shingle once a line, by shingle
+    code, line = np.divmod(of, m)
+    size = np.bincount(line, minlength=m)
+    held = np.bincount(code, minlength=len(kinds)) > 1
+    line, code = line[held[code]], (np.cumsum(held) - 1)[code[held[code]]]
+    other = slice(n, m) if m > n else slice(0, n)
+    both = np.zeros((n, len(size[other])), np.float64)
+    for c in range(0, int(held.sum()), COLUMNS):
+        i, j = np.searchsorted(code, (c, c + COLUMNS))
+        has = np.zeros((m, min(COLUMNS, int(code[j - 1]) - c + 1)), np.float32)
+        has[line[i:j], code[i:j] - c] = 1
+        both += has[:n] @ has[other].T
+    return 100 * both >= percent * (size[:n, None] + size[None, other] - both)
+
+
 def _confirmed(percent: int):
+    """(a, b) of the pairs (a, b, la, lb) whose lines are similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            if not n:
-                continue
-            sides = pa.concat_arrays([strings(batch.column(2)), strings(batch.column(3))])
-            lines = sides.take(pa.array(np.arange(2 * n).reshape(2, n).T.ravel()))
-            good, k = np.zeros(n, bool), 0
-            sizes = pa.compute.binary_length(lines).to_numpy(zero_copy_only=False).reshape(n, 2).sum(axis=1)
-            while k < n:  # runs of whole pairs
-                j = max(k + 1, k + int(np.searchsorted(np.cumsum(sizes[k:]), 4 * TOGETHER, "right")))
-                (_, _, data, offsets), = byte_slices(lines.slice(2 * k, 2 * (j - k)), 1 << 62)
-                good[k:j] = similar(*shingles(data, offsets), percent)
-                k = j
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
+            if n:
+                good = alike(pa.concat_arrays([strings(batch.column(2)), strings(batch.column(3))]), np.arange(n), np.arange(n, 2 * n), percent)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good))
+
+    return run
+
+
+def _linked(percent: int):
+    """(a, b) of similar lines of two components, from rows of two blocks, or of one and an empty one, of (id, comp, line)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [batch.column(0), batch.column(1)]
+            flat = [side.flatten() for side in sides]
+            ids, comps, lines = (pa.concat_arrays([f.field(k) for f in flat]) for k in range(3))
+            comp = comps.dictionary_encode().indices.to_numpy()
+            size = [pa.compute.list_value_length(side).to_numpy() for side in sides]
+            ends = [np.concatenate([[at], at + np.cumsum(s)]) for at, s in zip((0, len(flat[0])), size, strict=True)]
+            a, b, few = [], [], []
+            for r in range(batch.num_rows):
+                i, j = (np.arange(e[r], e[r + 1]) for e in ends)
+                alone = not len(j)
+                apart = comp[i][:, None] != comp[i if alone else j][None, :]
+                x, y = np.nonzero(np.triu(apart) if alone else apart)
+                if not len(x):
+                    continue
+                left, right = i[x], (i if alone else j)[y]
+                if len(x) <= FEW:
+                    few.append((left, right))
+                    continue
+                good = all_alike(lines.take(pa.array(np.concatenate([i, j]))), len(i), percent)[x, y]
+                a.append(left[good])
+                b.append(right[good])
+            if few:
+                left, right = (np.concatenate(side) for side in zip(*few, strict=True))
+                good = alike(lines, left, right, percent)
+                a.append(left[good])
+                b.append(right[good])
+            if a:
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(side))) for side in (a, b)], ["a", "b"])
 
     return run
 
@@ -124,42 +193,34 @@ def line_table(docs: DataFrame) -> DataFrame:
 def similar_lines(lines: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     """(id, component) of the distinct ``lines(id, line)`` that are linked with another."""
     kind = lines.schema["id"].dataType.simpleString()
-    signed = cut(lines.select("id", "line").mapInArrow(frugal(_signed), f"id {kind}, keys array<long>"), "line-signatures")
-    rows = signed.select("id", F.explode("keys").alias("key"))
-    shared = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "line-shared")
-    members = cut(rows.join(shared, "key").select("key", "id", F.col("id").alias("comp")), "line-members")
-    comps, tested, pool = None, None, lines
-    turn = 0
-    while True:
-        open_keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-        here = cut(members.join(open_keys, "key"), "line-open")
-        if here.isEmpty():
-            return comps if comps is not None else lines.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
-        # only lines that may still be compared go on; each round has fewer
-        pool = cut(pool.join(here.select("id").distinct(), "id"), "line-pool")
-        lead = LEADERS[min(turn, len(LEADERS) - 1)] * 8 ** max(0, turn - len(LEADERS) + 1)
-        of_leader = [F.col(c).alias(f"l_{c}") for c in ("id", "comp")]
-        if lead == 1:
-            leaders = here.groupBy("key").agg(F.min_by(F.struct(*of_leader), "id").alias("l")).select("key", "l.*")
-        else:
-            ranked = here.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).filter(F.col("r") <= lead)
-            leaders = ranked.select("key", *of_leader)
-        leaders = cut(leaders, "line-leaders")
-        met = here.join(leaders, "key").filter("comp != l_comp")
-        pairs = met.select(F.least("id", "l_id").alias("a"), F.greatest("id", "l_id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "line-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        sides = pairs.join(pool.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(pool.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
-        links = cut(sides.select("a", "b", "la", "lb").mapInArrow(frugal(_confirmed(percent)), f"a {kind}, b {kind}"), "line-links")
-        every = links if comps is None else links.unionByName(comps.filter("id != component").select(F.col("component").alias("a"), F.col("id").alias("b")))
-        if comps is None or not links.isEmpty():
-            comps = components(every, "line")
-        rest = here.join(leaders.select("key", F.col("l_id").alias("id")), ["key", "id"], "left_anti").drop("comp")
-        rest = rest.join(comps.select("id", F.col("component").alias("c")), "id", "left").withColumn("comp", F.coalesce("c", "id"))
-        members = cut(rest.select(*members.columns), "line-members")
-        turn += 1
+    found = f"a {kind}, b {kind}"
+    signed = lines.select("id", "line").mapInArrow(frugal(_signed), f"id {kind}, keys array<long>")
+    by_key = Window.partitionBy("key").orderBy("id")
+    met = signed.select("id", F.explode("keys").alias("key")).select("key", "id", F.first("id").over(by_key).alias("leader"))
+    # a leader meets every other line of its bucket here, and is not among the bucket's lines after that
+    members = cut(met.filter("id != leader").select("key", "id", "leader"), "line-members")
+    pairs = cut(members.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "line-pairs")
+    pool = cut(lines.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", "line"), "line-pool")
+    sides = pairs.join(pool.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(pool.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b")
+    links = cut(sides.select("a", "b", "la", "lb").mapInArrow(frugal(_confirmed(percent)), found), "line-links")
+    comps = components(links, "line")
+
+    placed = members.select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    placed = cut(placed, "line-placed")
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
+    here = placed.join(open_keys, "key").join(pool, "id")
+    row, so_far = F.row_number().over(by_key), F.sum(F.octet_length("line")).over(by_key.rowsBetween(Window.unboundedPreceding, -1))
+    block = (F.floor((row - 1) / BLOCK_LINES) + F.floor(F.coalesce(so_far, F.lit(0)) / BLOCK_BYTES)).alias("block")
+    blocks = here.select("key", block, F.struct("id", "comp", "line").alias("one")).groupBy("key", "block").agg(F.collect_list("one").alias("own"))
+    blocks = cut(blocks, "line-blocks")
+    more = blocks.filter("block > 0").select("key").distinct()
+    several = cut(blocks.join(more, "key", "left_semi"), "line-several")
+    two = several.join(several.select("key", F.col("block").alias("later"), F.col("own").alias("other")), "key").filter("block < later").select("own", "other")
+    rows = blocks.select("own", F.slice("own", 1, 0).alias("other")).unionByName(two)
+    others = cut(rows.mapInArrow(frugal(_linked(percent)), found), "line-links")
+    if others.isEmpty():
+        return comps
+    return components(others.unionByName(comps.filter("id != component").select(F.col("component").alias("a"), F.col("id").alias("b"))), "line")
 
 
 def fuzzy_lines(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
