@@ -296,6 +296,22 @@ def test_flagship_follows_its_sql_where_a_low_is_zero(spark, tmp_path):
     assert got == want and sum(row[1] == math.inf for row in got) == 20
 
 
+def test_flagship_follows_its_sql_where_a_close_is_zero(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from tidemark.plans import registry
+
+    rng, events = np.random.default_rng(4), str(tmp_path / "events.parquet")
+    prices = rng.uniform(40, 60, 320).round(2)
+    prices[[103, 239]] = 0.0  # the last of their hours
+    db = duckdb.connect()
+    db.execute("CREATE TABLE price AS SELECT * FROM (SELECT unnest(?) AS value, unnest(range(320)) AS event_id)", [prices.tolist()])
+    db.execute(f"COPY (SELECT event_id, TIMESTAMP '2024-01-01' + to_minutes(event_id * 15) AS ts, 'view' AS event_type, value FROM price) TO '{events}' (FORMAT parquet)")
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{events}'")
+    want = db.execute(f"SELECT seq, garman_klass, volatility, value_at_risk FROM ({registry.oracle_sql()['flagship']}) ORDER BY seq").fetchall()
+    got = [(r["seq"], r["garman_klass"], r["volatility"], r["value_at_risk"]) for r in registry.flagship(spark, str(tmp_path)).orderBy("seq").collect()]
+    assert repr(got) == repr(want) and sum(row[2] is not None and math.isnan(row[2]) for row in got) == 40
+
+
 def test_wavelet_variance_by_definition():
     from tidemark.operators import wavelets
 

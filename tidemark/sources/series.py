@@ -28,14 +28,20 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     return df.withColumn("seq", F.row_number().over(Window.partitionBy("series").orderBy(*order)).cast("long"))
 
 
-def bars(events: DataFrame) -> DataFrame:
-    """Hourly bars of every event type: series, seq, hour, open, high, low, close, volume, ret (0 on the first). Empty hours have none."""
+def bars(events: DataFrame, infinite: bool = False) -> DataFrame:
+    """Hourly bars of every event type: series, seq, hour, open, high, low, close, volume, ret (0 on the first). Empty hours have none.
+
+    After a close of zero ret is 0, for kernels take finite numbers only; with ``infinite`` it is what floating point makes of the ratio: infinite, or NaN where both closes are zero.
+    """
     at = F.struct("ts", "event_id")
     hourly = events.groupBy(F.col("event_type").alias("series"), F.date_trunc("hour", "ts").alias("hour")).agg(
         F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count("*").cast("double").alias("volume")
     )
     before = F.lag("close").over(Window.partitionBy("series").orderBy("hour"))
-    return numbered(hourly, ["hour"]).withColumn("ret", F.coalesce(F.try_divide("close", before) - 1.0, F.lit(0.0)))
+    ratio = F.try_divide("close", before)
+    if infinite:  # F.pow knows no error of division
+        ratio = F.when(before == 0, F.col("close") * F.pow(before, F.lit(-1.0))).otherwise(ratio)
+    return numbered(hourly, ["hour"]).withColumn("ret", F.coalesce(ratio - 1.0, F.lit(0.0)))
 
 
 def ticks(events: DataFrame) -> DataFrame:
