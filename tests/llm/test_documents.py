@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -673,3 +674,36 @@ def test_lines_of_one_bucket_that_are_not_alike(spark, monkeypatch):
     comp = brute_components({i: {t[k : k + 5] for k in range(396)} for i, t in enumerate(texts)}, 80)
     assert got == {i: comp[i] for i in range(200)}
     assert max(written) <= line_dedup.BANDS * len(texts)
+
+
+def test_shuffles_of_lines_write_one_file_a_task(spark, monkeypatch):
+    # by default 200 partitions, as many as Spark still gives a file each in every task
+    rows = [(1, "a line that is told\n" + "another line " * 4), (2, "another line " * 4 + "!"), (3, "a line that is told")]
+    want = sorted(line_dedup.fuzzy_lines(docs_of(spark, rows)).collect())
+    partitions, seen, cut = "spark.sql.shuffle.partitions", set(), line_dedup.cut
+
+    def watched(df, label, **more):
+        seen.add(int(spark.conf.get(partitions)))
+        return cut(df, label, **more)
+
+    before = spark.conf.get(partitions)
+    monkeypatch.setattr(line_dedup, "cut", watched)
+    spark.conf.set(partitions, "200")
+    try:
+        got = line_dedup.fuzzy_lines(docs_of(spark, rows))
+        assert min(seen) > 200 and spark.conf.get(partitions) == "200"
+    finally:
+        spark.conf.set(partitions, before)
+    assert sorted(got.collect()) == want
+
+
+def test_shingles_by_slices_of_characters():
+    texts = ["", "a", "漢字", "abcd", "abcde", "é" * 7, "x😀y漢zé abc", "", "abcde!", "ab"]
+    want = [[t[k : k + 5] for k in range(max(len(t) - 4, 1))] if t else [] for t in texts]
+    for some in (slice(None), slice(0, 4), slice(1, 2)):
+        (_, _, data, offsets), = line_dedup.byte_slices(pa.array(texts[some]), 1 << 40)
+        hashes, first = line_dedup.shingles(data, offsets)
+        flat = [s for w in want[some] for s in w]
+        assert np.diff(first).tolist() == [len(w) for w in want[some]]
+        assert len(hashes) == len(flat) and all((hashes[i] == hashes[j]) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(i))
+    assert line_dedup.band_keys(*line_dedup.shingles(*next(iter(line_dedup.byte_slices(pa.array(["abcdef", "abcdef", "ghijkl"]))))[2:]))[0].shape == (line_dedup.BANDS,)

@@ -31,14 +31,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Spans, byte_slices, components, frugal, mix, read_table, strings, unused
+from .common import Spans, byte_slices, components, frugal, mix, one_file_a_task, read_table, strings, unused
 from .common import cut as _cut
 
 cut = partial(_cut, codec="zstd", release=True)
 
 EXACT, BANDS, ROWS, LEAST_PERCENT = 5, 20, 6, 80
 #: Bytes of lines whose shingles are handled together, so that they stay in a core's cache.
-TOGETHER = 1 << 17
+TOGETHER = 1 << 16
 #: Lines and bytes of a block (or one longer line); pairs of two blocks up to which each is verified alone; columns of a matrix at a time.
 BLOCK_LINES, BLOCK_BYTES, FEW, COLUMNS = 256, 1 << 19, 16, 4096
 
@@ -56,22 +56,26 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     count = np.where(size > 0, np.maximum(size - EXACT + 1, 1), 0)
     first = np.concatenate([[0], np.cumsum(count)])
     at = np.arange(first[-1]) + np.repeat(chars[:-1] - first[:-1], count)
-    return Spans(data).spans(leads[at], leads[np.minimum(at + EXACT, np.repeat(chars[1:], count))]), first
+    spans = Spans(data)
+    every = spans.spans(leads[:-EXACT], leads[EXACT:])  # also across lines, which ``at`` passes over
+    hashes = every.take(at, mode="clip") if len(every) else np.empty(len(at), np.uint64)
+    few = np.flatnonzero((size > 0) & (size < EXACT))
+    hashes[first[few]] = spans.spans(leads[chars[few]], leads[chars[few + 1]])
+    return hashes, first
 
 
 def band_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """lines x BANDS; every line has a shingle."""
-    x = (hashes >> np.uint64(32)).astype(np.uint32)
-    keys, v = np.empty((len(first) - 1, BANDS), np.int64), np.empty_like(x)
-    for band in range(BANDS):
-        key = np.full(len(first) - 1, band, np.uint64)
-        for row in range(ROWS):
-            k = band * ROWS + row
-            np.bitwise_xor(x, _XOR[k], out=v)
-            np.multiply(v, _MUL[k], out=v)
-            key = mix(key + np.minimum.reduceat(v, first[:-1]).astype(np.uint64) * _ORDER[row])
-        keys[:, band] = key.view(np.int64)
-    return keys
+    x, at = (hashes >> np.uint64(32)).astype(np.uint32), first[:-1]
+    least, v = np.empty((BANDS * ROWS, len(at)), np.uint32), np.empty_like(x)
+    for k in range(BANDS * ROWS):
+        np.bitwise_xor(x, _XOR[k], out=v)
+        np.multiply(v, _MUL[k], out=v)
+        np.minimum.reduceat(v, at, out=least[k])
+    keys = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], len(at), axis=1)
+    for row in range(ROWS):
+        keys = mix(keys + least[row::ROWS] * _ORDER[row])
+    return np.ascontiguousarray(keys.T).view(np.int64)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +111,7 @@ def alike(lines: pa.Array, a: np.ndarray, b: np.ndarray, percent: int) -> np.nda
     size = pa.compute.binary_length(lines).to_numpy(zero_copy_only=False)
     ends = np.cumsum(size[a].astype(np.int64) + size[b])
     while k < n:  # runs of whole pairs
-        j = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + 4 * TOGETHER, "right")))
+        j = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + 8 * TOGETHER, "right")))
         (_, _, data, offsets), = byte_slices(lines.take(pa.array(np.stack([a[k:j], b[k:j]], axis=1).ravel())), 1 << 62)
         good[k:j] = similar(*shingles(data, offsets), percent)
         k = j
@@ -196,7 +200,7 @@ def similar_lines(lines: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     found = f"a {kind}, b {kind}"
     signed = lines.select("id", "line").mapInArrow(frugal(_signed), f"id {kind}, keys array<long>")
     by_key = Window.partitionBy("key").orderBy("id")
-    met = signed.select("id", F.explode("keys").alias("key")).select("key", "id", F.first("id").over(by_key).alias("leader"))
+    met = signed.select("id", F.explode("keys").alias("key")).select("key", "id", F.min("id").over(Window.partitionBy("key")).alias("leader"))
     # a leader meets every other line of its bucket here, and is not among the bucket's lines after that
     members = cut(met.filter("id != leader").select("key", "id", "leader"), "line-members")
     pairs = cut(members.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "line-pairs")
@@ -223,12 +227,9 @@ def similar_lines(lines: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     return components(others.unionByName(comps.filter("id != component").select(F.col("component").alias("a"), F.col("id").alias("b"))), "line")
 
 
-def fuzzy_lines(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
-    """One row per line of ``docs(doc_id, text)``: doc_id, line_no, first_doc, first_line, copies, kept.
-
-    (first_doc, first_line) is the line that stays for the line's component, and copies how many lines the component has.
-    """
-    lines, worded = line_table(docs), F.col("line").rlike(r"\S")
+def _places(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables: places (doc_id, line_no, id; null for white space) and own (id, c, first, copies), what each distinct line of component c brings."""
+    lines, worded = line_table(docs), F.ltrim(F.col("line"), F.lit(" \t\x0b\f\r")) != ""
     for identifier in (F.xxhash64, lambda c: F.sha2(c, 256)):
         distinct = cut(lines.filter(worded).select(identifier(F.col("line")).alias("id"), "line").groupBy("id", "line").agg(F.lit(1).alias("one")).select("id", "line"), "line-distinct")
         if distinct.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
@@ -236,11 +237,21 @@ def fuzzy_lines(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     else:
         raise ValueError("distinct lines share an identifier of every kind")
     places = cut(lines.select("doc_id", "line_no", F.when(worded, identifier(F.col("line"))).alias("id")), "line-places")
-    # what each distinct line brings, then each component; places meet that once, by their own line
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "line_no")
     own = places.filter("id is not null").groupBy("id").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
     linked = similar_lines(distinct, percent)
     own = cut(own.join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("c"), "first", "copies"), "line-own")
+    return places, own
+
+
+def fuzzy_lines(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
+    """One row per line of ``docs(doc_id, text)``: doc_id, line_no, first_doc, first_line, copies, kept.
+
+    (first_doc, first_line) is the line that stays for the line's component, and copies how many lines the component has.
+    """
+    with one_file_a_task(docs.sparkSession):
+        places, own = _places(docs, percent)
+    # what each component brings; places meet it once, by their own line
     whole = own.groupBy("c").agg(F.min("first").alias("first"), F.sum("copies").alias("copies"))
     told = own.select("id", "c").join(whole, "c").select("id", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"), "copies")
     blank = F.col("id").isNull()
