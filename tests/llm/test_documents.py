@@ -707,3 +707,17 @@ def test_shingles_by_slices_of_characters():
         assert np.diff(first).tolist() == [len(w) for w in want[some]]
         assert len(hashes) == len(flat) and all((hashes[i] == hashes[j]) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(i))
     assert line_dedup.band_keys(*line_dedup.shingles(*next(iter(line_dedup.byte_slices(pa.array(["abcdef", "abcdef", "ghijkl"]))))[2:]))[0].shape == (line_dedup.BANDS,)
+
+
+def test_orders_of_shingles_cost_one_product_each_and_agree_as_often_as_sets_do(monkeypatch):
+    rng, n = np.random.default_rng(5), 3000
+    common, own = rng.integers(0, 2**64, (n, 1, 40), dtype=np.uint64), rng.integers(0, 2**64, (n, 2, 5), dtype=np.uint64)
+    hashes = np.concatenate([np.repeat(common, 2, axis=1), own], axis=2).ravel()
+    products, multiply = [], np.multiply
+    monkeypatch.setattr(line_dedup.np, "multiply", lambda *a, **k: products.append(1) or multiply(*a, **k))
+    monkeypatch.setattr(line_dedup.np, "bitwise_xor", lambda *a, **k: pytest.fail("a second pass over the shingles"))
+    keys = line_dedup.band_keys(hashes, np.arange(2 * n + 1) * 45)
+    assert len(products) == line_dedup.BANDS * line_dedup.ROWS
+    same = keys[::2] == keys[1::2]
+    assert abs(same.mean() - 0.8**6) < 0.015 and (~same.any(axis=1)).mean() < 0.006
+    assert (line_dedup.band_keys(np.zeros(1, np.uint64), np.array([0, 1])) != line_dedup.band_keys(np.full(1, 2**63, np.uint64), np.array([0, 1]))).all()

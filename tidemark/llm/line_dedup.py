@@ -43,7 +43,6 @@ TOGETHER = 1 << 16
 BLOCK_LINES, BLOCK_BYTES, FEW, COLUMNS = 256, 1 << 19, 16, 4096
 
 _rng = np.random.Generator(np.random.PCG64(8))
-_XOR = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _MUL = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ORDER = _rng.integers(1, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -66,10 +65,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def band_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """lines x BANDS; every line has a shingle."""
-    x, at = (hashes >> np.uint64(32)).astype(np.uint32), first[:-1]
-    least, v = np.empty((BANDS * ROWS, len(at)), np.uint32), np.empty_like(x)
+    # the k-th order is by an odd number times k - 1 others; odd hashes, so that none is 0 in every order
+    v, at = (hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1), first[:-1]
+    least = np.empty((BANDS * ROWS, len(at)), np.uint32)
     for k in range(BANDS * ROWS):
-        np.bitwise_xor(x, _XOR[k], out=v)
         np.multiply(v, _MUL[k], out=v)
         np.minimum.reduceat(v, at, out=least[k])
     keys = np.repeat(np.arange(BANDS, dtype=np.uint64)[:, None], len(at), axis=1)
